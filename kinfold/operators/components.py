@@ -27,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = around.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("h"), F.least("x", "y").alias("up"))
         least = materialize(least, "least")
         twice = least.join(least.select(F.col("h").alias("up"), F.col("up").alias("upper")), "up", "left")
-        step = materialize(twice.select("h", F.coalesce("upper", "up").alias("up")).filter("h <> up"), "step")
+        step = materialize(twice.select("h", F.coalesce("upper", "up").alias("up")), "step")
         to = lambda c: step.select(F.col("h").alias(c), F.col("up").alias(f"{c}_up"))
         moved = live.join(to("x"), "x", "left").join(to("y"), "y", "left").select(F.coalesce("x_up", "x").alias("x"), F.coalesce("y_up", "y").alias("y"))
         after = materialize(moved.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
@@ -39,9 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return names.select("node", F.col("h").alias("root"))
     root = steps[-1]
     for step in reversed(steps[:-1]):
-        # nodes that left in this round follow those they stepped to
-        follow = step.join(root.select(F.col("h").alias("up"), F.col("up").alias("top")), "up", "left").select("h", F.coalesce("top", "up").alias("up"))
-        root = follow.unionByName(root)
+        # a node steps in its first round, and what it stepped to in those after
+        root = step.join(root.select(F.col("h").alias("up"), F.col("up").alias("top")), "up", "left").select("h", F.coalesce("top", "up").alias("up"))
     return materialize(names.join(root, "h", "left").select("node", F.coalesce("up", "h").alias("root")), "roots")
 
 
