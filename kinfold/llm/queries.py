@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, exact_dedup, secrets, simhash, topk
+from kinfold.llm import bpe, exact_dedup, language, packing, pii, secrets, simhash, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -31,18 +35,34 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digest(bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_urls": op7_urls,
     "op8_bpe": op8_bpe,
+    "op9_language": op9_language,
+    "op10_pii": op10_pii,
 }
 
 
@@ -90,4 +110,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                row_number() OVER w = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)""",
+    "op7_urls": r"""
+        WITH RECURSIVE parts AS (
+            SELECT page_id, url, coalesce(html, '') AS html, regexp_extract(coalesce(url, ''), '(?s)^(.*?)://', 1) AS scheme,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                   regexp_extract(coalesce(url, ''), '(?s)^[^?#]*([?][^#]*)', 1) AS query FROM pages),
+        tags AS (SELECT *, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag FROM parts WHERE host <> ''),
+        targets AS (
+            SELECT host || path || query AS a, translate(regexp_extract(href, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                   || regexp_extract(href, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || regexp_extract(href, '(?s)^[^?#]*([?][^#]*)', 1) AS b
+            FROM (SELECT *, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM tags
+                  WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical')) WHERE href LIKE '%://%'),
+        edges AS (SELECT a, b FROM targets UNION SELECT b, a FROM targets),
+        reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+        rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) t(v, h, p)),
+        nodes AS (SELECT DISTINCT node, regexp_extract(node, '(?s)^([^/?#]*)', 1) AS host, regexp_extract(node, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+                  FROM (SELECT host || path || query AS node FROM parts WHERE host <> '' UNION SELECT node FROM reach)),
+        ruled AS (
+            SELECT node, v, h || p AS rule FROM nodes JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+            QUALIFY row_number() OVER (PARTITION BY node ORDER BY length(h || p) DESC) = 1),
+        aliases AS (SELECT r.node, bool_or(v = 'allow') AS allowed, bool_or(v = 'block') AS blocked FROM reach r JOIN ruled ON ruled.node = r.other GROUP BY r.node)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict,
+               v IS NULL AND (coalesce(allowed, false) OR coalesce(blocked, false)) AS by_alias
+        FROM parts LEFT JOIN ruled ON ruled.node = host || path || query AND host <> '' LEFT JOIN aliases ON aliases.node = host || path || query AND host <> ''""",
 }
