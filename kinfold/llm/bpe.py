@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 # Fixed value: the pre-tokenizer's pattern.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: Where a text can't be cut at its single spaces.
-_RUNS = re.compile(r"^\s|\s\s|\s$|[\x1c-\x1f]")
-#: Units a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Marks that end words; after letters they are a pre-token of their own.
+_MARKS = ".,;:!?%$&*#|)"
+#: Pieces, words and pairs a worker remembers before it starts afresh.
+REMEMBERED, REMEMBERED_PAIRS = 200_000, 1_000_000
 #: Input bytes after which a result batch is sent.
 BATCH_BYTES = 8 << 20
 
@@ -53,11 +54,13 @@ class PrefixTokenizer:
         self.matches = ahocorasick.Automaton()
         for i, raw in self.bytes_of.items():
             if len(raw) == 1 or i in self.halves:
-                self.matches.add_word(raw.decode("latin-1"), (i, len(raw)))
+                self.matches.add_word(raw.decode("latin-1"), i)
         self.matches.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.size = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
+        self.shift = len(self.size).bit_length()
+        self.fits: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.units: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces = Pieces(self)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the border between two adjacent tokens outlives all merges.
@@ -66,82 +69,108 @@ class PrefixTokenizer:
         pieces face each other there, their own merge must not come before the merges that consume them; of
         equal ranks the one further left goes first.
         """
-        known = self.fits.get((left, right))
-        if known is not None:
-            return known
         x, y, until_x, until_y = left, right, 1 << 60, 1 << 60
         while True:
             across = self.rank.get((x, y), 1 << 61)
             if across < until_x and across <= until_y:
-                answer = False
-                break
+                return False
             if self.born[x] < 0 and self.born[y] < 0:
-                answer = True
-                break
+                return True
             if self.born[x] > self.born[y]:
                 until_x, x = self.born[x], self.halves[x][1]
             else:
                 until_y, y = self.born[y], self.halves[y][0]
-        if len(self.fits) > 2_000_000:
-            self.fits.clear()
-        self.fits[left, right] = answer
-        return answer
 
     def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-token: the last token of every prefix is unique, so store it, then follow back-pointers."""
+        """Ids of one pre-token, remembered."""
         known = self.words.get(word)
-        if known is not None:
-            return known
+        if known is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            known = self.words[word] = self._word(word)
+        return known
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of one pre-token: the last token of every prefix is unique, so store it, then follow back-pointers."""
         raw = word.encode("utf-8").decode("latin-1")
-        last: list[tuple[int, int] | None] = [None] * len(raw)
-        for end, (token, size) in self.matches.iter(raw):  # all suffixes of the prefix that are tokens
-            if last[end] is None:
-                before = end - size
-                if before < 0 or ((p := last[before]) is not None and self.compatible(p[0], token)):
-                    last[end] = (token, size)
+        last, size, fits, shift = [-1] * len(raw), self.size, self.fits, self.shift
+        for end, token in self.matches.iter(raw):  # all suffixes of the prefix that are tokens
+            if last[end] < 0:
+                before = end - size[token]
+                if before < 0:
+                    last[end] = token
+                elif (left := last[before]) >= 0:
+                    pair = left << shift | token
+                    if (good := fits.get(pair)) is None:
+                        if len(fits) > REMEMBERED_PAIRS:
+                            fits.clear()
+                        good = fits[pair] = self.compatible(left, token)
+                    if good:
+                        last[end] = token
         ids, at = [], len(raw) - 1
         while at >= 0:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
-        found = tuple(reversed(ids))
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        self.words[word] = found
-        return found
+            ids.append(last[at])
+            at -= size[last[at]]
+        ids.reverse()
+        return tuple(ids)
 
     def decode(self, ids: Iterator[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _unit(self, unit: str) -> tuple[bytes, bytes]:
-        """Packed ids of a stretch of text whose ends are borders, and the bytes they decode to."""
-        ids = [i for word in PRETOKEN.findall(unit) for i in self.word(word)]
-        found = np.array(ids, "<i4").tobytes(), self.decode(ids)
-        if len(self.units) >= REMEMBERED:
-            self.units.clear()
-        self.units[unit] = found
-        return found
+    def _plain(self, text: str) -> list[int]:
+        return [i for word in PRETOKEN.findall(text) for i in self.word(word)]
+
+    def piece(self, piece: str) -> tuple[bytes, bytes] | None:
+        """Packed ids, and the bytes they decode to, of a space and the piece of text up to the next space.
+
+        None for a piece that begins or ends with white space: there a run of white space crosses the cut.
+        """
+        if not piece or piece != piece.strip():
+            return None
+        letters = piece.rstrip(_MARKS)
+        if letters.isalpha():  # one pre-token of letters, perhaps one of marks
+            ids = [*self._word(" " + letters), *(self.word(piece[len(letters) :]) if len(letters) < len(piece) else ())]
+        else:
+            ids = self._plain(" " + piece)
+        return array("i", ids).tobytes(), self.decode(ids)
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids packed as little-endian int32, bytes that the ids decode to) of a whole text."""
-        ids, raw = [], []
+        """(ids packed as int32, bytes that the ids decode to) of a whole text."""
+        found: list[tuple[bytes, bytes]] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
-                found = [(np.array([self.special[part]], "<i4").tobytes(), self.decode([self.special[part]]))]
-            elif _RUNS.search(part):
-                all_ids = [i for word in PRETOKEN.findall(part) for i in self.word(word)]
-                found = [(np.array(all_ids, "<i4").tobytes(), self.decode(all_ids))]
+                ids = [self.special[part]]
+                found.append((array("i", ids).tobytes(), self.decode(ids)))
             elif part:
-                # a border always precedes a single space, so stretches between them are encoded alone
-                known, first, *rest = self.units.get, *part.split(" ")
-                found = [known(first) or self._unit(first), *[known(u) or self._unit(u) for u in [" " + x for x in rest]]]
-            else:
-                continue
-            ids += [x[0] for x in found]
-            raw += [x[1] for x in found]
+                # a pre-token border precedes every single space, so what stands between them is encoded alone
+                first, *rest = part.split(" ")
+                pieces = list(map(self.pieces.__getitem__, rest))
+                if None in pieces or first != first.strip() or not first and rest:
+                    first, pieces = part, []
+                ids = self._plain(first)
+                found += [(array("i", ids).tobytes(), self.decode(ids)), *pieces]
+        ids, raw = zip(*found) if found else ((), ())
         return b"".join(ids), b"".join(raw)
 
 
+class Pieces(dict):
+    """What a worker remembers of pieces: the latest, and those of the generation before."""
+
+    def __init__(self, model: PrefixTokenizer):
+        super().__init__()
+        self.model, self.before = model, {}
+
+    def __missing__(self, piece: str) -> tuple[bytes, bytes] | None:
+        found = self.before.get(piece, self)
+        if found is self:
+            found = self.model.piece(piece)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 _MODELS: dict[int, PrefixTokenizer] = {}
 
 

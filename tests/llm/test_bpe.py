@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -29,7 +30,7 @@ def test_ids_and_round_trip_equal_the_library(model):
     reference = Tokenizer.from_file(PATH)
     for text in texts():
         packed, raw = model.encode(text)
-        ids = [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]
+        ids = [int.from_bytes(packed[i : i + 4], sys.byteorder) for i in range(0, len(packed), 4)]
         assert ids == reference.encode(text, add_special_tokens=False).ids, repr(text)
         assert raw.decode() == reference.decode(ids, skip_special_tokens=False), repr(text)
 
