@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, exact_dedup, language, packing, pii, secrets, simhash, topk, urls
+from kinfold.llm import bpe, exact_dedup, language, packing, passages, pii, secrets, simhash, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(passages.repeated_passages(_table(spark, sf_dir, "documents")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_documents(_table(spark, sf_dir, "documents"))
     return secrets.digest(found)
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_passages": op4_passages,
     "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_urls": op7_urls,
