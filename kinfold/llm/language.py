@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.sampling import bounded_sample
+from kinfold.llm.sampling import bounded_sample, slices
 from kinfold.llm.urls import host_of
 from kinfold.runtime import join_hot, materialize
 
@@ -24,6 +25,8 @@ HOST_STRENGTH, SUFFIX_STRENGTH, CORPUS_STRENGTH = 20.0, 20.0, 4.0
 #: A document is rejected if no language reaches this posterior.
 LEAST_POSTERIOR = 0.5
 UNKNOWN = "und"
+#: Share of the background in each language's trigrams, and prior of a text in none of the languages.
+BACKGROUND_SHARE, UNKNOWN_PRIOR = 0.1, 1e-6
 _BUCKETS = 1 << 16
 _PIECE = 1 << 20
 # letters in lower case and all bytes of longer characters stay; everything else is a space
@@ -71,7 +74,7 @@ class TextModel:
             keep = triple[1] != 32
             letters += np.bincount(bucket[keep], weights=mass[keep], minlength=_BUCKETS)
         background = (letters + 1e-9) / (letters + 1e-9).sum()
-        smooth = (seen + 200.0 * background) / (seen + 200.0 * background).sum(axis=1, keepdims=True) if languages else seen
+        smooth = (1 - BACKGROUND_SHARE) * seen / seen.sum(axis=1, keepdims=True).clip(1.0) + BACKGROUND_SHARE * background
         return cls(languages, np.log(np.vstack([smooth, background[None]])).T.astype(np.float32).copy())
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +97,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     Evidence: the text's likelihood under each language; the declared markup language, through how often documents
     of each language declare it; the address suffix and the host (of a url, or the plain value), as priors: counts
     of text decisions are grouped by host, suffix and corpus, and each level is smoothed with the next, the
-    document's own vote left out. language is the most probable, ``und`` where no text model beats independent
-    bytes, no posterior reaches one half, or the text has no letters; only ``und`` isn't accepted.
+    document's own vote left out. language is the most probable, ``und`` where independent bytes explain the text better
+    by more than the prior of an unknown language allows, no posterior reaches one half, or the text has no
+    letters; only ``und`` isn't accepted.
 
     The text model is fitted on at most train_rows rows with a declared language, those of lowest hash; all counts
     cover all rows. Null texts have no letters; null declarations and addresses count as ''. Null ids and repeated
@@ -108,7 +112,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     languages, sent = model.languages, spark.sparkContext.broadcast(model)
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores, sizes = sent.value.score(batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores.tolist(), pa.list_(pa.float64())), pa.array(sizes)], ["doc_id", "declared", "address", "ll", "letters"])
 
@@ -119,7 +123,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     k = len(languages)
     own = F.slice("ll", 1, k) if k else F.array().cast("array<double>")
     best = (F.array_position(own, F.array_max(own)) - 1).cast("int")
-    has_text = (F.col("letters") > 0) & (F.array_max(own) > F.element_at("ll", -1))
+    has_text = (F.col("letters") > 0) & (TEMPER * (F.array_max(own) - F.element_at("ll", -1)) > math.log(UNKNOWN_PRIOR))
     scored = materialize(scored.withColumn("vote", F.when(has_text, best)), "scored")
     if not k:
         return scored.select("doc_id", "declared", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("accepted"))
@@ -153,7 +157,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     name = lambda i: F.element_at(F.array(*[F.lit(x) for x in languages]), i)
     sure = F.col("vote").isNotNull() & (posterior >= LEAST_POSTERIOR)
     found = F.when(sure, name(F.array_position("log", top).cast("int"))).otherwise(UNKNOWN)
-    return fused.select("doc_id", "declared", found.alias("language"), posterior.alias("posterior"), F.coalesce(name(F.col("vote") + 1), F.lit(UNKNOWN)).alias("text_language"), sure.alias("accepted"))
+    return fused.select("doc_id", "declared", found.alias("language"), posterior.alias("posterior"), F.when(F.col("vote").isNotNull(), name(F.col("vote") + 1)).otherwise(UNKNOWN).alias("text_language"), sure.alias("accepted"))
 
 
 def keep_identified(docs: DataFrame, **columns) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.sampling import bounded_sample
+from kinfold.llm.sampling import bounded_sample, slices
 
 # The base patterns, in the order of kinds.
 KINDS = ("email", "ip", "card", "phone")
@@ -216,7 +216,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("origin", pa.string())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[{"start": a, "kind": KINDS[k], "end": b, "origin": o} for a, k, b, o in model.value.spans(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
@@ -241,7 +241,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
         return "".join([*out, text[at:]])
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text_col)
             texts = pa.array([cover(t.as_py()) for t in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], batch.schema.names)

@@ -1,7 +1,10 @@
-"""Bounded samples of rows to fit models on."""
+"""Bounded samples of rows to fit models on, and bounded slices of Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +19,10 @@ def bounded_sample(df: DataFrame, rows: int, *columns: Column) -> list:
     hashed = picked.withColumn("hash_", F.xxhash64(*picked.columns))
     least = hashed.select("hash_").distinct().orderBy("hash_").limit(rows)
     return hashed.join(F.broadcast(least), "hash_").dropDuplicates(["hash_"]).orderBy("hash_").drop("hash_").collect()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
