@@ -93,11 +93,9 @@ def number_fragments(frames: list[DataFrame]) -> DataFrame:
 
 
 def extract_csv(rows: DataFrame) -> DataFrame:
-    """Fragments of (ord, cells): unknown headers are skipped; of two headers of one field the later column wins.
-
-    Column order doesn't survive in a map, so among headers of one field the last in the vocabulary's order wins.
-    """
-    cell = lambda field: F.coalesce(*[F.try_element_at("cells", F.lit(h)) for h in reversed(V.CSV_HEADERS[field])])
+    """Fragments of (ord, cells): unknown headers are skipped; of two headers of one field the later column wins."""
+    headers = lambda field: F.filter(F.map_keys("cells"), lambda k: k.isin(*V.CSV_HEADERS[field]))
+    cell = lambda field: F.try_element_at("cells", F.try_element_at(headers(field), F.lit(-1)))
     conf = V.METHOD_CONFIDENCE["direct_field_read"]
     facts = {f: _fact(f, cell(f), conf) for f in ("full_name", "current_company", "title", "headline")}
     facts["years_experience"] = _fact("years_experience", number_at_least_zero(cell("years_experience")).cast("string"), conf)
@@ -178,8 +176,7 @@ def _history(v: Column, item: str, keys: tuple[str, str, str] | tuple[str, str])
 def extract_ats(rows: DataFrame, strict_parity: bool = True) -> DataFrame:
     """Fragments of (ord, record): keys are tried in order, nested contact and employer blocks last.
 
-    With strict_parity an explicit null under a mapped key reads as the text "None", as the reference behaviour has
-    it; otherwise as absent.
+    With strict_parity an explicit null under a mapped key reads as the text "None"; otherwise as absent.
     """
     record, conf, parity = Json(F.col("record")), V.METHOD_CONFIDENCE["ats_mapped"], strict_parity
     legs = lambda field: [Json(_resolved(record, k)) for k in V.ATS_KEYS[field]]

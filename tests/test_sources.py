@@ -64,3 +64,11 @@ def test_numbers(spark):
     given = ["7", " 8.5 ", "1_000", "-1", "nan", "inf", "8d", "", None, "1e3", "abc", "-0"]
     rows = spark.createDataFrame([(x,) for x in given], "t string").select(number_at_least_zero(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows] == [7.0, 8.5, 1000.0, None, None, float("inf"), None, None, None, 1000.0, None, 0.0]
+
+
+def test_later_column_of_a_field_wins(spark, tmp_path):
+    from kinfold.operators.extract import extract_csv
+
+    path = write(tmp_path, "x.csv", "position,title,role,email\na,b,c,x@y.zz\nd,e,,\n")
+    rows = extract_csv(readers.read_csv(spark, path)).orderBy("ord").collect()
+    assert [r.title.value for r in rows] == ["c", "e"]
