@@ -19,6 +19,8 @@ from kinfold.runtime import anti_join_ids, join_hot, materialize
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
 #: Shingles of the shortest passage: no compact window is narrower.
 WIDTH = LEAST_WORDS - SHINGLE + 1
+#: Shingles that the shortest similar stretches have in common at least.
+LEAST_SHARED = int(np.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY) - 1e-9))
 #: Min-hash functions. A passage of similarity s escapes all of them with probability (1 - s) ** HASHES.
 HASHES = 3
 #: Windows of one min-hash value that are compared pair by pair; larger groups go by exact blocks and by order.
@@ -29,16 +31,51 @@ _SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"passage", s)) for s in range(HASHES
 _MIX, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as the longest text so far needs."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse, self.size = base, pow(base, -1, 1 << 64), 0
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.size <= n:
+            self.size = max(2 * n, 4096)
+            grow = lambda x: np.multiply.accumulate(np.r_[np.uint64(1), np.full(self.size, np.uint64(x))], dtype=np.uint64)
+            self.up, self.down = grow(self.base), grow(self.inverse)
+        return self.up, self.down
+
+
+_POWERS = _Powers(int(_BASE) | 1)
+
+
+def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each values[start:end], the same wherever it stands: a polynomial, by differences of prefix sums."""
+    up, down = _POWERS.upto(len(values) + 1)
+    prefix = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=prefix[1:])
+    out = (prefix[ends] - prefix[starts]) * down[starts]
+    return (out ^ (out >> np.uint64(31))) * _MIX
+
+
 def shingles(text: bytes) -> np.ndarray:
-    """64-bit hash of every run of SHINGLE words; too few words, none."""
-    words = text.translate(LOWER).split()
-    if len(words) < LEAST_WORDS:
+    """64-bit hash of every run of SHINGLE words; too few words for a passage, none."""
+    raw = np.frombuffer(text.translate(LOWER), np.uint8)
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if len(starts) < LEAST_WORDS:
         return np.zeros(0, np.uint64)
-    hashes = np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
+    # bytes count from one, so that no word is a prefix of zeros of another
+    words = stretch_hashes(raw.astype(np.uint64) + np.uint64(1), starts, ends)
     n = len(words) - SHINGLE + 1
-    out = hashes[:n].copy()
+    out = words[:n].copy()
     for i in range(1, SHINGLE):
-        out = (out * _BASE) ^ hashes[i : i + n]
+        out = (out * _BASE) ^ words[i : i + n]
     return out ^ (out >> np.uint64(29))
 
 
@@ -47,56 +84,99 @@ def min_hash(shingle: np.ndarray, seed: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def compact_windows(values: np.ndarray, width: int = WIDTH) -> list[tuple[int, int, int]]:
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over every stretch of width, by doubling."""
+    out, done = values, 1
+    while 2 * done <= width:
+        out, done = pick(out[..., :-done], out[..., done:]), 2 * done
+    rest = width - done
+    return pick(out[..., : out.shape[-1] - rest], out[..., rest:]) if rest else out
+
+
+def minima(values: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Which places hold the minimum of some stretch of width; rows are apart. Equal values count both."""
+    if values.shape[-1] < width:
+        return np.zeros(values.shape, bool)
+    low = _sliding(values, width, np.minimum)
+    edge = np.zeros((*values.shape[:-1], width - 1), np.uint64)
+    return _sliding(np.concatenate([edge, low, edge], axis=-1), width, np.maximum) == values
+
+
+def compact_windows(values: np.ndarray, centers: np.ndarray | None = None, width: int = WIDTH) -> list[tuple[int, int, int]]:
     """(left, center, right), inclusive: every stretch within [left, right] that holds center has its minimum there.
 
     These are the nodes of the Cartesian tree whose spans are at least width, ties to the left. A node's ancestors
-    span more than it, so it is enough to find the minima of all stretches of width and build the tree over them.
+    span more than it, so it is enough to build the tree over the minima of all stretches of width.
     """
     n = len(values)
-    if n < width:
-        return []
-    view = np.lib.stride_tricks.sliding_window_view(values, width)
-    centers = np.unique(view.argmin(axis=1) + np.arange(n - width + 1)).tolist()
-    heights = values[centers].tolist()
-    left, right, stack = [0] * len(centers), [n - 1] * len(centers), []
+    places = (np.flatnonzero(minima(values, width)) if centers is None else centers).tolist()
+    heights = values[places].tolist()
+    left, right, stack = [0] * len(places), [n - 1] * len(places), []
     for i, h in enumerate(heights):
         while stack and heights[stack[-1]] > h:
-            right[stack.pop()] = centers[i] - 1
-        left[i] = centers[stack[-1]] + 1 if stack else 0
+            right[stack.pop()] = places[i] - 1
+        left[i] = places[stack[-1]] + 1 if stack else 0
         stack.append(i)
-    return list(zip(left, centers, right))
+    return [(x, c, y) for x, c, y in zip(left, places, right) if y - x >= width - 1]
 
 
 def block_hashes(shingle: np.ndarray) -> np.ndarray:
     """Hash of every stretch of WIDTH shingles, that is of LEAST_WORDS words."""
-    n, odd = len(shingle) - WIDTH + 1, int(_BASE) | 1
-    powers = lambda x: np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(shingle), np.uint64(x))], dtype=np.uint64)
-    prefix = np.r_[np.uint64(0), np.cumsum(shingle * powers(odd)[:-1], dtype=np.uint64)]
-    # odd numbers have inverses modulo 2**64, so a difference of prefix sums can be brought back to the power zero
-    out = (prefix[WIDTH:] - prefix[:n]) * powers(pow(odd, -1, 1 << 64))[:n]
-    return out ^ (out >> np.uint64(31))
+    at = np.arange(max(0, len(shingle) - WIDTH + 1))
+    return stretch_hashes(shingle, at, at + WIDTH)
+
+
+class Codes:
+    """Codes of the shingles from a center on and, backwards, before it; as a set too, for a quick refusal."""
+
+    def __init__(self, after: bytes, before: bytes):
+        self.after, self.before, self.set = after, before, None
+
+    def distinct(self) -> frozenset:
+        if self.set is None:
+            self.set = frozenset(memoryview(self.after).cast("H")) | frozenset(memoryview(self.before).cast("H"))
+        return self.set
+
+    def may_match(self, other: Codes) -> bool:
+        """False only if too few codes are common. Texts that repeat themselves have few codes and aren't refused."""
+        x, y = self.distinct(), other.distinct()
+        if 2 * len(x) <= len(self.after) + len(self.before) - 12 or 2 * len(y) <= len(other.after) + len(other.before) - 12:
+            return True
+        return len(x & y) >= LEAST_SHARED - 6
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common start of two runs of codes, in codes."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return (n - (differ.bit_length() + 7) // 8) // 2
+
+
+_HELD = np.zeros(1 << 16, bool)
 
 
-def same_passage(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int] | None:
+def _held_in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which codes of x are in y."""
+    _HELD[y] = True
+    found = _HELD[x]
+    _HELD[y] = False
+    return found
+
+
+def same_passage(a: Codes, b: Codes) -> tuple[int, int] | None:
     """(shingles before the centers, shingles from them on) of near-duplicate stretches around two equal centers.
 
-    a and b hold codes of the shingles from the center on and, backwards, before it. The stretches are the union of
-    all that hold the centers, have WIDTH shingles, and reach SIMILARITY as sets.
+    Equal stretches of WIDTH shingles around the centers are taken as they are. Else the stretches are the union
+    of all that hold the centers, have WIDTH shingles, and reach SIMILARITY as sets.
     """
-    after, before = min(len(a[0]), len(b[0])), min(len(a[1]), len(b[1]))
-    if after + before < WIDTH:
-        return None
-    differs = np.flatnonzero(a[0][:after] != b[0][:after])
-    run = int(differs[0]) if len(differs) else after
-    differs = np.flatnonzero(a[1][:before] != b[1][:before])
-    back = int(differs[0]) if len(differs) else before
-    if run == after and back == before:
+    run, back = _common(a.after, b.after), _common(a.before, b.before)
+    if run + back >= WIDTH:
         return back, run
-    x = np.r_[a[1][:before][::-1], a[0][:after]]
-    y = np.r_[b[1][:before][::-1], b[0][:after]]
-    shared = np.minimum(_windowed(np.isin(x, y)), _windowed(np.isin(y, x)))
-    good = np.flatnonzero(shared >= SIMILARITY * (2 * WIDTH - shared))
+    after, before = min(len(a.after), len(b.after)) // 2, min(len(a.before), len(b.before)) // 2
+    if after + before < WIDTH or not a.may_match(b):
+        return None
+    x, y = (np.concatenate([np.frombuffer(c.before, "<u2")[:before][::-1], np.frombuffer(c.after, "<u2")[:after]]) for c in (a, b))
+    shared = np.minimum(_windowed(_held_in(x, y)), _windowed(_held_in(y, x)))
+    good = np.flatnonzero(shared >= LEAST_SHARED)
     good = good[(good <= before) & (good + WIDTH > before)]
     if not len(good):
         return None
@@ -104,11 +184,14 @@ def same_passage(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
 
 
 def _windowed(flags: np.ndarray) -> np.ndarray:
-    total = np.r_[0, np.cumsum(flags)]
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
     return total[WIDTH:] - total[:-WIDTH]
 
 
-_WINDOW = "large boolean, key long, node long, at int, after binary, before binary"
+#: Kinds of rows of the second pass: windows of a few, windows of many, stretches of LEAST_WORDS words.
+FEW, MANY, BLOCK = 0, 1, 2
+_ROWS = "kind int, key long, node long, at int, after binary, before binary"
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -116,7 +199,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
     at = F.pmod("key", F.lit(_BUCKETS * _BITS))
     rows = keys.groupBy((at / _BITS).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(at % _BITS).alias("bits"))
     out = np.zeros((_BUCKETS, _BITS // 8), np.uint8)
-    for bucket, bits in rows.toLocalIterator():
+    for bucket, bits in rows.collect():
         out[bucket] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
@@ -134,16 +217,18 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
                 yield node, found
 
 
+def _hashes(found: np.ndarray) -> np.ndarray:
+    return np.stack([min_hash(found, seed) for seed in _SEEDS])
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Min-hash values of the centers of all compact windows."""
+    """Min-hash values of the centers of all compact windows (and of ties, which only adds to counts)."""
     held: list[np.ndarray] = []
     size = 0
     for _, found in _text_batches(batches):
-        for seed in _SEEDS:
-            values = min_hash(found, seed)
-            part = values[[c for _, c, _ in compact_windows(values)]]
-            held.append(part)
-            size += len(part)
+        values = _hashes(found)
+        held.append(values[minima(values)])
+        size += len(held[-1])
         if size > 200_000:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["key"])
             held, size = [], 0
@@ -152,22 +237,34 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(repeated, frequent):
-    """Compact windows whose value others have too, with codes of the shingles around their centers."""
+    """Compact windows whose value others have too, with codes of the shingles around their centers, and blocks.
+
+    Blocks are all stretches of LEAST_WORDS words that hold the center of a frequent window of the first min-hash.
+    A stretch that is repeated elsewhere has its minimum in common with it, so the first min-hash finds them all;
+    frequent windows of the others aren't needed.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, often = repeated.value, frequent.value
         rows: list[tuple] = []
         for node, found in _text_batches(batches):
-            codes = (found >> np.uint64(48)).astype("<u2")
-            for seed in _SEEDS:
-                values = min_hash(found, seed)
-                windows = compact_windows(values)
+            every = _hashes(found)
+            for number, (values, low) in enumerate(zip(every, minima(every))):
+                centers = np.flatnonzero(low)
+                if not _inside(seen, values[centers]).any():
+                    continue
+                windows = compact_windows(values, centers)
                 keys = values[[c for _, c, _ in windows]]
-                large = _inside(often, keys)
-                for i in np.flatnonzero(_inside(seen, keys)):
+                many = _inside(often, keys)
+                codes = (found >> np.uint64(48)).astype("<u2")
+                for i in np.flatnonzero(_inside(seen, keys) if number == 0 else _inside(seen, keys) & ~many).tolist():
                     left, c, right = windows[i]
                     after, before = codes[c : min(right, c + WIDTH - 1) + 1], codes[max(left, c - WIDTH + 1) : c][::-1]
-                    rows.append((bool(large[i]), int(keys[i].view(np.int64)), node, c, after.tobytes(), before.tobytes()))
+                    rows.append((MANY if many[i] else FEW, int(keys[i].view(np.int64)), node, c, after.tobytes(), before.tobytes()))
+                if number == 0 and many.any():
+                    starts = np.unique(np.concatenate([np.arange(max(x, c - WIDTH + 1), min(c, y - WIDTH + 1) + 1) for (x, c, y), big in zip(windows, many) if big]))
+                    hashes = stretch_hashes(found, starts, starts + WIDTH).view(np.int64)
+                    rows += [(BLOCK, k, node, at, None, None) for k, at in zip(hashes.tolist(), starts.tolist())]
             if len(rows) > 20_000:
                 yield _batch(rows)
                 rows = []
@@ -177,59 +274,46 @@ def _windows(repeated, frequent):
     return find
 
 
-_SCHEMA = pa.schema([("large", pa.bool_()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
+_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
 
-def _blocks(frequent):
-    """(key, node, at) of all stretches of LEAST_WORDS words that hold the center of a frequent window.
+def _compare(all_pairs: bool):
+    """Verified links among the windows of each key, which come in order of their codes.
 
-    Every stretch repeated elsewhere has its minimum in common with it, so the first min-hash finds them all.
+    Windows of equal codes are linked to the first of them; of different ones, the first are compared: all pairs, or
+    each with the one before.
     """
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
-        for node, found in _text_batches(batches):
-            values = min_hash(found, _SEEDS[0])
-            windows = compact_windows(values)
-            large = _inside(often, values[[c for _, c, _ in windows]])
-            if large.any():
-                starts = np.unique(np.concatenate([np.arange(max(x, c - WIDTH + 1), min(c, y - WIDTH + 1) + 1) for (x, c, y), big in zip(windows, large) if big]))
-                keys = block_hashes(found)[starts]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), node)), pa.array(starts.astype(np.int32))], ["key", "node", "at"])
-
-    return find
-
-
-def _compare(all_pairs: bool):
-    """Verified links among the windows of each key, which come in order: all pairs, or each with the one before."""
+    names = ["a", "b", "a_start", "a_end", "b_start", "b_end"]
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        firsts: list[tuple] = []
         key, out = None, []
+
+        def add(other: int, there: int, node: int, at: int, back: int, run: int) -> None:
+            out.append((other, node, there - back, there + run + SHINGLE - 1, at - back, at + run + SHINGLE - 1))
+
         for batch in batches:
             for k, node, at, after, before in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if k != key:
-                    key, group = k, []
-                mine = (node, at, (np.frombuffer(after, "<u2"), np.frombuffer(before, "<u2")))
-                for other, there, codes in group:
-                    if (other, there) != (node, at) and (found := same_passage(codes, mine[2])):
-                        back, run = found
-                        out.append((other, node, there - back, there + run + SHINGLE - 1, at - back, at + run + SHINGLE - 1))
-                if all_pairs:
-                    group.append(mine)
-                else:
-                    group = [mine]
+                    key, firsts = k, []
+                if firsts and firsts[-1][2] == after and firsts[-1][3] == before:
+                    add(*firsts[-1][:2], node, at, len(before) // 2, len(after) // 2)
+                    continue
+                mine = (node, at, after, before, Codes(after, before))
+                for other in firsts:
+                    if found := same_passage(other[4], mine[4]):
+                        add(*other[:2], node, at, *found)
+                firsts = [*firsts, mine] if all_pairs else [mine]
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
-                out = []
+                out.clear()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
-    names = ["a", "b", "a_start", "a_end", "b_start", "b_end"]
     return links
 
 
@@ -248,17 +332,16 @@ def passage_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = materialize(counts, "counts")
     repeated, frequent = (spark.sparkContext.broadcast(_filter(counts.filter(f"n > {n}"))) for n in (1, PAIRWISE))
 
-    windows = materialize(slim.mapInArrow(_windows(repeated, frequent), _WINDOW), "windows")
+    found = materialize(slim.mapInArrow(_windows(repeated, frequent), _ROWS), "windows")
     columns = ["key", "node", "at", "after", "before"]
-    found = "a long, b long, a_start long, a_end long, b_start long, b_end long"
-    small = windows.filter("NOT large").select(*columns).repartition("key").sortWithinPartitions("key", "node", "at")
-    pairs = small.mapInArrow(_compare(True), found)
-    large = windows.filter("large").select(*columns)
+    few, large = (found.filter(F.col("kind") == kind).select(*columns) for kind in (FEW, MANY))
+    link = "a long, b long, a_start long, a_end long, b_start long, b_end long"
+    pairs = few.repartition("key").sortWithinPartitions("key", "after", "before", "node", "at").mapInArrow(_compare(True), link)
     for order in (["key", "after", "before", "node", "at"], ["key", "before", "after", "node", "at"]):
-        pairs = pairs.unionByName(large.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(False), found))
+        pairs = pairs.unionByName(large.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(False), link))
     pairs = materialize(pairs, "pairs")
 
-    blocks = materialize(slim.mapInArrow(_blocks(frequent), "key long, node long, at int"), "blocks")
+    blocks = found.filter(F.col("kind") == BLOCK).select("key", "node", "at")
     same = materialize(blocks.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"), "same")
     hits = materialize(join_hot(blocks, same, "key", "inner", total=blocks.count()).select("node", "least", "at"), "hits")
 

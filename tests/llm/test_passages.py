@@ -20,7 +20,7 @@ def test_compact_windows_cover_every_stretch():
     rng = np.random.default_rng(0)
     for n, high in ((0, 9), (5, 9), (30, 4), (60, 1000), (80, 12)):
         values = rng.integers(0, high, n).astype(np.uint64)
-        assert sorted(P.compact_windows(values, 7)) == slow_windows(values, 7)
+        assert sorted(P.compact_windows(values, width=7)) == slow_windows(values, 7)
 
 
 def test_block_hashes_depend_on_content_only():
