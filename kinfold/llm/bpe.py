@@ -19,7 +19,7 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Whit
 #: Marks that end words; after letters they are a pre-token of their own.
 _MARKS = ".,;:!?%$&*#|)"
 #: Pieces, words and pairs a worker remembers before it starts afresh.
-REMEMBERED, REMEMBERED_PAIRS = 200_000, 1_000_000
+REMEMBERED, REMEMBERED_PAIRS = 350_000, 1_000_000
 #: Input bytes after which a result batch is sent.
 BATCH_BYTES = 8 << 20
 
@@ -129,7 +129,11 @@ class PrefixTokenizer:
             return None
         letters = piece.rstrip(_MARKS)
         if letters.isalpha():  # one pre-token of letters, perhaps one of marks
-            ids = [*self._word(" " + letters), *(self.word(piece[len(letters) :]) if len(letters) < len(piece) else ())]
+            if len(letters) < len(piece):
+                marks = self.word(piece[len(letters) :])
+                ids, raw = self.pieces[letters]
+                return ids + array("i", marks).tobytes(), raw + self.decode(marks)
+            ids = self._word(" " + letters)
         else:
             ids = self._plain(" " + piece)
         return array("i", ids).tobytes(), self.decode(ids)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,13 +43,32 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+# The patterns again, in forms that take linear time on long runs: an address is looked for around each @, and a
+# number can only begin where its run of digits does.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_IP_AT_RUN = re.compile("(?<![0-9])" + IP.pattern)
+
+
+def emails(text: str) -> list[tuple[int, int, int]]:
+    """(start, 0, end) of EMAIL's matches."""
+    found, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (domain := _DOMAIN.match(text, at)):
+            done = domain.end()
+            found.append((start, 0, done))
+        at = text.find("@", at + 1)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns' good matches; each kind is matched leftmost and on its own."""
-    found: list[tuple[int, int, int]] = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found = emails(text)
     if "." in text:
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP_AT_RUN.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if 12 <= m.end() - m.start():
             digits = m[0].replace(" ", "").replace("-", "")
@@ -79,10 +99,14 @@ def _core(text: str, kind_is_mail: bool) -> str:
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[Candidate]:
     """Base spans and looser look-alikes outside them, in order. A text without digits, @ and 'at' has none."""
     nodes = [Candidate(a, b, 0, _core(text[a:b], k == 0), k + 1) for a, k, b in spans]
-    taken = sorted((a, b) for a, _, b in spans)
+    starts, reach = [], []  # of the spans in order, and how far any of them so far reaches
+    for a, _, b in sorted(spans):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
 
     def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y in taken)
+        before = bisect_left(starts, b)  # spans that start ahead of b
+        return not before or reach[before - 1] <= a
 
     if spans:  # a look-alike takes a label only over a skip edge, so without base spans none can
         if any(k == 0 for _, k, _ in spans):

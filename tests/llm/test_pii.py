@@ -28,7 +28,7 @@ def slow_base(text):
 
 def texts():
     rng = random.Random(4)
-    out = ["", "a@b.c", "x é😀 joe@mail.example.com.", "4111 1111-1111 1111", "1.2.3.4.5 256.1.1.1 001.002.003.004", "+1 (838) 555-7235", "+1 23", "12345678901234567890123", "a@b@c.d", "1" * 5000]
+    out = ["", "a@b.c", "x é😀 joe@mail.example.com.", "4111 1111-1111 1111", "1.2.3.4.5 256.1.1.1 001.002.003.004", "+1 (838) 555-7235", "+1 23", "12345678901234567890123", "a@b@c.d", "1" * 5000, "a@b.c@d.e x@@y.z", "a-b@-.-", "q" * 3000 + "@ @x.y"]
     for _ in range(300):
         out.append("".join(rng.choice(["1", "2", "45", "4111111111111111", "+", " ", "-", ".", "(", "@", "ab", "é", "1.1.1.1", "x.y"]) for _ in range(rng.randrange(40))))
     return out
@@ -59,6 +59,11 @@ def test_clean_texts_are_left_alone(model):
         assert model.spans(text) == []
 
 
+def test_long_runs_take_linear_time(model):
+    for text in ("a" * 200_000 + " @", "1" * 200_000 + ".", "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1.1.1.1 " * 20_000):
+        model.spans(text)
+
+
 def test_held_out_accuracy():
     rng = random.Random(8)
 
