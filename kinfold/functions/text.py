@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,14 @@ def filled(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def first_group(c: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null if there is none."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+def first_group(c: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
+    """The first group of the first match, null if there is none or it is empty.
+
+    needs: texts of which every match holds one. A text without them isn't searched, which matters for patterns
+    that begin with a class and try long stretches from every place.
+    """
+    found = F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    return F.when(reduce(lambda a, b: a | b, [c.contains(x) for x in needs]), found) if needs else found
 
 
 def split_list(c: Column, separators: str = ",") -> Column:

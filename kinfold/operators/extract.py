@@ -45,6 +45,9 @@ NOTE_SKILLS = (
     r"(?imUd)^([A-Z][\w\s,]+?)(?:…|\.\.\.)",
 )
 
+#: Texts of which each match of a slow pattern holds one.
+_NEEDS = {NOTE_TITLES[2]: ("profile", "guy"), NOTE_SKILLS[1]: ("…", "...")}
+
 
 def _fact(name: str, value: Column, confidence: float, present: Column | None = None) -> Column:
     kind = V.RAW_FIELDS[name]
@@ -65,7 +68,8 @@ def as_fragments(df: DataFrame, source: str, ord_col: str, facts: dict[str, Colu
     """
     columns = [facts.get(f, F.lit(None).cast(kind)).alias(f) for f, kind in V.RAW_FIELDS.items()]
     keys = [F.lit(source).alias("source"), F.lit(V.SOURCE_TRUST[source]).alias("trust"), F.lit(V.SOURCE_METHOD[source]).alias("method")]
-    rows = df.select(F.col(ord_col).alias("ord"), *keys, *columns)
+    # one generated row holds all facts, so that the filter reads them instead of working them out once more
+    rows = df.select(F.col(ord_col).alias("ord"), *keys, F.inline(F.array(F.struct(*columns))))
     return rows.filter(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in V.RAW_FIELDS]))
 
 
@@ -211,8 +215,8 @@ def extract_ats(rows: DataFrame, strict_parity: bool = True) -> DataFrame:
 
 def _first_valid(text: Column, patterns: tuple[str, ...], valid) -> Column:
     """The first match of each pattern in turn, until one passes."""
-    found = [strip(first_group(text, p)) for p in patterns]
-    return F.coalesce(*[F.when(valid(x), x) for x in found])
+    found = [strip(first_group(text, p, _NEEDS.get(p, ()))) for p in patterns]
+    return F.get(F.filter(F.array(*found), lambda x: x.isNotNull() & valid(x)), 0)
 
 
 def note_emails(text: Column) -> Column:
@@ -239,7 +243,7 @@ def note_title(text: Column) -> Column:
 
 
 def note_skills(text: Column) -> Column:
-    found = [F.coalesce(F.split(first_group(text, p), r"(?U)[,;|]|\band\b", -1), F.array().cast("array<string>")) for p in NOTE_SKILLS]
+    found = [F.coalesce(F.split(first_group(text, p, _NEEDS.get(p, ())), r"(?U)[,;|]|\band\b", -1), F.array().cast("array<string>")) for p in NOTE_SKILLS]
     parts = F.transform(F.flatten(F.array(*found)), strip)
     return F.array_distinct(F.filter(parts, lambda x: F.char_length(x).between(1, 30)))
 
@@ -247,9 +251,13 @@ def note_skills(text: Column) -> Column:
 def note_location(text: Column) -> Column:
     """struct of city, region, country: first, second of three or more, last of two or more comma-separated parts."""
     raw = F.coalesce(*[strip(first_group(text, p)) for p in NOTE_LOCATIONS])
-    parts = F.transform(F.split(raw, ",", -1), strip)
-    n = F.size(parts)
-    return F.when(raw.isNotNull(), _location(city=F.get(parts, 0), region=F.when(n >= 3, F.get(parts, 1)), country=F.when(n >= 2, F.element_at(parts, -1))))
+
+    def place(x: Column) -> Column:
+        parts = F.transform(F.split(x, ",", -1), strip)
+        n = F.size(parts)
+        return _location(city=F.get(parts, 0), region=F.when(n >= 3, F.get(parts, 1)), country=F.when(n >= 2, F.element_at(parts, -1)))
+
+    return F.get(F.transform(F.filter(F.array(raw), lambda x: x.isNotNull()), place), 0)
 
 
 def extract_notes(rows: DataFrame) -> DataFrame:
