@@ -56,21 +56,22 @@ def membership_bitmap(values: DataFrame, value: str) -> DataFrame:
     It lets through every value it was made from, and others more often as it fills; an exact step has to follow.
     """
     at = F.pmod(F.xxhash64(value), F.lit(BITMAP_BUCKETS * BITMAP_BITS))
-    return values.groupBy((at / BITMAP_BITS).cast("int").alias("bucket_")).agg(F.bitmap_construct_agg(at % BITMAP_BITS).alias("bits_"))
+    return values.groupBy((at / BITMAP_BITS).cast("int").alias("kf_bucket_")).agg(F.bitmap_construct_agg(at % BITMAP_BITS).alias("kf_bits_"))
 
 
 def split_by_bitmap(df: DataFrame, bitmap: DataFrame, value: Column) -> DataFrame:
-    """df with a column ``maybe_``: false where the value is certainly not among those of the bitmap."""
+    """df with a column ``kf_maybe_``: false where the value is certainly not among those of the bitmap."""
     at = F.pmod(F.xxhash64(value), F.lit(BITMAP_BUCKETS * BITMAP_BITS))
     inside = (at % BITMAP_BITS).cast("int")
-    marked = df.withColumn("bucket_", (at / BITMAP_BITS).cast("int")).withColumn("at_", inside).join(F.broadcast(bitmap), "bucket_", "left")
-    byte = F.conv(F.hex(F.substring("bits_", (F.col("at_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("shiftright(byte_, at_ % 8) & 1")
-    return marked.withColumn("byte_", byte).withColumn("maybe_", F.coalesce(bit == 1, F.lit(False))).drop("bucket_", "at_", "bits_", "byte_")
+    marked = df.withColumn("kf_bucket_", (at / BITMAP_BITS).cast("int")).withColumn("kf_at_", inside).join(F.broadcast(bitmap), "kf_bucket_", "left")
+    byte = F.conv(F.hex(F.substring("kf_bits_", (F.col("kf_at_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(kf_byte_, kf_at_ % 8) & 1")
+    return marked.withColumn("kf_byte_", byte).withColumn("kf_maybe_", F.coalesce(bit == 1, F.lit(False))).drop("kf_bucket_", "kf_at_", "kf_bits_", "kf_byte_")
 
 
 def anti_join_ids(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key isn't in gone; only rows that the bitmap can't clear are shuffled. Null keys stay."""
     marked = split_by_bitmap(df, membership_bitmap(gone, key), F.col(key))
-    clear = marked.filter(~F.col("maybe_")).drop("maybe_")
-    return clear.unionByName(marked.filter("maybe_").drop("maybe_").join(gone.select(key), key, "left_anti").select(*df.columns))
+    clear = marked.filter(~F.col("kf_maybe_")).drop("kf_maybe_")
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return clear.select(*names).unionByName(marked.filter("kf_maybe_").drop("kf_maybe_").join(gone.select(key), key, "left_anti").select(*names))
