@@ -127,7 +127,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dup = materialize(duplicate_fingerprints(keys, "fp", rows), "dup")
 
     texts = docs.select(norm.alias("norm")).withColumn("fp", F.xxhash64("norm"))
-    texts = split_by_bitmap(texts, membership_bitmap(dup, "fp"), F.col("fp")).filter("maybe_")
+    texts = split_by_bitmap(texts, membership_bitmap(dup, "fp"), F.col("fp")).filter("kf_maybe_")
     same = texts.groupBy("norm").agg(F.count("*").alias("n")).filter("n > 1").select(F.sha2("norm", 256).alias("sha"), "n")
     same = materialize(same, "same")
 

@@ -264,13 +264,16 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
             at = max(at, end)
         return "".join([*out, text[at:]])
 
+    at = docs.columns.index(text_col)
+
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at = batch.schema.get_field_index(text_col)
             texts = pa.array([cover(t.as_py()) for t in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], batch.schema.names)
 
-    out = docs.mapInArrow(change, docs.schema)
+    # plain names on the way, since a name with a dot can't be handed to an Arrow function
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = numbered.mapInArrow(change, numbered.schema).toDF(*docs.columns)
     return out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
 
 
