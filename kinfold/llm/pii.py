@@ -23,8 +23,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Rows that the field's weights are fitted on.
 TRAIN_ROWS = 4000
-#: Messages are passed at most so many times, or until they change by less.
-ROUNDS, CLOSE = 30, 1e-4
+#: Messages are passed until they change by less; the limit of rounds only ends a field that swings for ever.
+ROUNDS, CLOSE = 1000, 1e-4
 #: Candidates this near in the text are neighbours of the chain.
 NEAR = 40
 _LABELS = ("none", *KINDS)
@@ -119,19 +119,27 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[Candidate]:
     return sorted(nodes, key=lambda c: (c.start, c.label))
 
 
-def skip_edges(nodes: list[Candidate]) -> list[tuple[int, int]]:
-    """Tokens of one core, and phone-like ones of one last seven digits, each joined to the one before it.
+def entities(nodes: list[Candidate]) -> list[tuple[int, list[int]]]:
+    """(label, look-alikes) of what the tokens name: a star each, so the number of edges is linear.
 
-    A cycle of such edges through every occurrence carries what one says to all others, at a linear number of edges.
+    An entity is a core, or the last seven digits of phone-like tokens. Its label is the one most base spans of it
+    have, the first of equals; 0 if it has none. A look-alike belongs to the entity of its core if that has a label or
+    its last digits have none, else to that of its last digits. Entities that tell their only member nothing are left
+    out.
     """
-    last: dict[str, int] = {}
-    edges = set()
-    for i, c in enumerate(nodes):
-        for key in {c.core, c.core[-7:] if c.core.isdigit() and len(c.core) >= 7 else c.core}:
-            if key in last:
-                edges.add((last[key], i))
-            last[key] = i
-    return sorted(edges)
+    named: dict[str, dict[int, int]] = {}  # by core, and by last digits with a mark that no core has
+    keys = [(c.core, f"…{c.core[-7:]}" if c.core.isdigit() and len(c.core) >= 7 else c.core) for c in nodes]
+    for c, pair in zip(nodes, keys):
+        if c.label:
+            for key in set(pair):
+                counts = named.setdefault(key, {})
+                counts[c.label] = counts.get(c.label, 0) + 1
+    members: dict[str, list[int]] = {}
+    for i, (c, (core, last)) in enumerate(zip(nodes, keys)):
+        if not c.label:
+            members.setdefault(last if last in named and core not in named else core, []).append(i)
+    label = {key: max(counts, key=counts.__getitem__) for key, counts in named.items()}
+    return [(label.get(key, 0), found) for key, found in members.items() if key in label or len(found) > 1]
 
 
 class SkipChain:
@@ -159,26 +167,28 @@ class SkipChain:
             for i in range(1, len(nodes)):
                 if nodes[i].start - nodes[i - 1].end <= NEAR:
                     chain[told[i - 1], told[i]] += 1
-            for a, b in skip_edges(nodes):
-                skip[told[a], told[b]] += 1
-                skip[told[b], told[a]] += 1
+            for label, members in entities(nodes):
+                for i in members:
+                    skip[label, told[i]] += 1
+                    skip[told[i], label] += 1
         ratio = lambda m: np.log(m * m.sum() / (m.sum(1, keepdims=True) * m.sum(0, keepdims=True)))
         return cls(np.log(shape / shape.sum(1, keepdims=True)), np.clip(ratio(chain), -1.0, 1.0), np.clip(ratio(skip), -4.0, 6.0))
 
     def beliefs(self, nodes: list[Candidate]) -> np.ndarray:
-        """Marginals by loopy sum-product with damping; base spans are observed."""
+        """Marginals of the tokens by loopy sum-product with damping; base spans, and entities of them, are observed."""
         n, k = len(nodes), len(_LABELS)
-        unary = np.stack([self.unary[c.shape] for c in nodes])
-        for i, c in enumerate(nodes):
-            if c.label:
-                unary[i] = -50.0
-                unary[i, c.label] = 0.0
+        stars = entities(nodes)
+        unary = np.concatenate([np.stack([self.unary[c.shape] for c in nodes]), np.zeros((len(stars), k))])
+        for i, label in enumerate([c.label for c in nodes] + [label for label, _ in stars]):
+            if label:
+                unary[i] = -1e9  # beyond what any number of messages adds up to
+                unary[i, label] = 0.0
         near = [(i - 1, i) for i in range(1, n) if nodes[i].start - nodes[i - 1].end <= NEAR]
-        far = skip_edges(nodes)
+        far = [(n + e, i) for e, (_, members) in enumerate(stars) for i in members]
         ends = np.array(near + far, np.int64).reshape(-1, 2)
         m = len(ends)
         if not m:
-            return _softmax(unary)
+            return _softmax(unary[:n])
         pair = np.concatenate([np.broadcast_to(self.chain, (len(near), k, k)), np.broadcast_to(self.skip, (len(far), k, k))])
         # messages 0..m-1 go from first to second end, m..2m-1 back
         source, target = np.r_[ends[:, 0], ends[:, 1]], np.r_[ends[:, 1], ends[:, 0]]
@@ -197,7 +207,7 @@ class SkipChain:
                 break
         incoming = unary.copy()
         np.add.at(incoming, target, messages)
-        return _softmax(incoming)
+        return _softmax(incoming[:n])
 
     def spans(self, text: str | None) -> list[tuple[int, int, int, str]]:
         """(start, kind, end, 'base' or 'field') in order: base spans, and look-alikes the field labels."""
@@ -230,8 +240,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
     Base patterns give observed nodes. Look-alikes in the same text (numbers without a plus, spelled-out
     addresses) are nodes without a label; neighbours share chain edges and equal or similar tokens, however far
-    apart, skip edges. Loopy message passing labels a look-alike where the field believes it, so a number that
-    stands once with its plus is found without it too. A text without base spans gets none.
+    apart, skip edges to one entity, which has the label of its base spans. Loopy message passing labels a look-alike
+    where the field believes it, so a number that stands once with its plus is found without it too, however often. A
+    text without base spans gets none.
 
     Weights are fitted on at most train_rows texts, those of lowest hash that hold an @ or digits. Null text has no
     spans; null ids and repeated rows are kept. Other columns aren't read.

@@ -83,6 +83,28 @@ def test_held_out_accuracy():
     assert right >= 195 and wrong == 0
 
 
+@pytest.mark.parametrize("repeats", [1, 2, 10, 100])
+@pytest.mark.parametrize("trained", [0, 200])
+def test_every_repeat_is_found(repeats, trained):
+    rng = random.Random(9)
+    number = lambda: "".join(rng.choice("23456789") for _ in range(10))
+    show = lambda n: f"{n[:3]}-{n[3:6]}-{n[6:]}"
+    filler = " word" * 20 + " "
+
+    def document():
+        n, other = number(), number()
+        return f"+1 {show(n)}{filler}{show(n)}{filler}{show(other)}{filler}"
+
+    model = pii.SkipChain.fit([document() for _ in range(trained)])
+    for gap in (filler, ", "):
+        for full, short, kind in (("+1 838 555 7235", "838-555-7235", 3), ("joe.b@mail.org", "joe.b [at] mail [dot] org", 0)):
+            text = gap.join([full] + [short] * repeats) + filler + gap.join(["212-444-0000"] * repeats)
+            found = [(text[a:b], k) for a, k, b, origin in model.spans(text) if origin == "field"]
+            if trained and kind == 0:
+                continue  # the sample has no addresses
+            assert found == [(short, kind)] * repeats, (gap, short)
+
+
 def test_documents_and_redaction(spark):
     rows = [(i, t, 0, "s") for i, t in enumerate(texts())] + [(None, None, 3, None), (0, "a@b.c", 0, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
