@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.sampling import bounded_sample, slices
+from kinfold.llm.sampling import slices
 from kinfold.llm.urls import host_of
 from kinfold.runtime import join_hot, materialize
 
-#: Rows with a declared language that the text model is fitted on.
-TRAIN_ROWS = 4000
-#: A declared language needs this share of the sample to be a class.
-LEAST_SHARE = 0.01
+#: Rows with a declared language that the text model is fitted on, in equal parts by language, and least part.
+TRAIN_ROWS, LANGUAGE_ROWS = 4000, 100
+#: A declared language is a class if so many texts of the table declare it; in small tables this share is enough.
+LEAST_TEXTS, LEAST_SHARE = 5, 0.01
 #: Trigrams overlap, so three of them count as one observation.
 TEMPER = 1 / 3
 #: Strength of the suffix's prior in a host's, of the corpus's in a suffix's, and of uniform in the corpus's.
@@ -51,18 +51,19 @@ class TextModel:
         self.languages, self.table = languages, table
 
     @classmethod
-    def fit(cls, rows: list[tuple[str | None, str | None]]) -> TextModel:
-        """rows: (text, language). Languages that too few rows declare are left out; no rows, no languages."""
-        names, counts = np.unique([str(lang) for _, lang in rows if lang], return_counts=True)
-        languages = [str(n) for n, c in zip(names, counts) if c >= LEAST_SHARE * counts.sum()]
+    def fit(cls, rows: list[tuple[str | None, str | None]], languages: list[str] | None = None) -> TextModel:
+        """rows: (text, language). Rows of other languages than these (or any) are of the background only."""
+        if languages is None:
+            languages = sorted({str(lang) for _, lang in rows if lang})
         seen = np.zeros((len(languages), _BUCKETS))
         every, letters = np.zeros(256), np.zeros(_BUCKETS)
         for text, lang in rows:
-            if lang in languages:
+            if lang:
                 raw = _bytes(text)
-                bucket, letter = _buckets(raw)
-                seen[languages.index(lang)] += np.bincount(bucket[letter], minlength=_BUCKETS)
                 every += np.bincount(raw, minlength=256)
+                if lang in languages:
+                    bucket, letter = _buckets(raw)
+                    seen[languages.index(lang)] += np.bincount(bucket[letter], minlength=_BUCKETS)
         used = np.flatnonzero(every)
         share = every[used] / max(1.0, every.sum())
         # the background's trigram mass, bucket by bucket
@@ -91,6 +92,30 @@ class TextModel:
         return out, sizes
 
 
+def _sample(labelled: DataFrame, text: Column, declared: Column, train_rows: int) -> tuple[list[str], list]:
+    """(classes, (text, language) of the texts that hash lowest, as many of each class and of all other languages).
+
+    Texts are counted by language over the whole table first, so a language's part doesn't depend on its share. The
+    counts give the share of hashes that holds about twice the part, so no task or driver sorts more.
+    """
+    spark = labelled.sparkSession
+    hashed = labelled.select(text.alias("text"), declared.cast("string").alias("lang")).filter("lang <> ''").withColumn("hash_", F.xxhash64("text", "lang"))
+    hashes = materialize(hashed.select("lang", "hash_").distinct(), "hashes")
+    total = hashes.count()
+    least = min(LEAST_TEXTS, LEAST_SHARE * total)
+    counts = dict(hashes.groupBy("lang").count().filter(F.col("count") >= least).collect())
+    part = max(LANGUAGE_ROWS, train_rows // max(1, len(counts)))
+    cut = lambda n: min(1.0, 2.0 * (part + 32) / max(1, n))
+    cuts = spark.createDataFrame([(lang, cut(n)) for lang, n in counts.items()], "lang string, cut double")
+    drawn = hashes.join(F.broadcast(cuts), "lang", "left").filter(F.col("hash_") / 2.0**64 + 0.5 <= F.coalesce("cut", F.lit(cut(total - sum(counts.values())))))
+    by_class: dict[str | None, list[int]] = {}
+    for lang, h in drawn.select(F.when(F.col("cut").isNotNull(), F.col("lang")), "hash_").collect():
+        by_class.setdefault(lang, []).append(h)
+    picked = spark.createDataFrame([(h,) for found in by_class.values() for h in sorted(found)[:part]], "hash_ long")
+    rows = hashed.join(F.broadcast(picked), "hash_").dropDuplicates(["hash_"]).orderBy("hash_").select("text", "lang").collect()
+    return sorted(counts), rows
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", address_col: str = "source", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, declared, language, posterior, text_language, accepted.
 
@@ -99,17 +124,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     of text decisions are grouped by host, suffix and corpus, and each level is smoothed with the next, the
     document's own vote left out. language is the most probable, ``und`` where independent bytes explain the text better
     by more than the prior of an unknown language allows, no posterior reaches one half, or the text has no
-    letters; only ``und`` isn't accepted.
+    letters; only ``und`` isn't accepted. Languages that fewer than LEAST_TEXTS texts declare can't be learned: a text
+    with letters that would be ``und`` but declares one is taken at its word.
 
-    The text model is fitted on at most train_rows rows with a declared language, those of lowest hash; all counts
-    cover all rows. Null texts have no letters; null declarations and addresses count as ''. Null ids and repeated
+    The text model is fitted on about train_rows rows with a declared language, as many of each language (LANGUAGE_ROWS
+    at least, where there are so many), those of lowest hash; all counts cover all rows. Null texts have no letters; null declarations and addresses count as ''. Null ids and repeated
     rows are kept. Without any declared language all is ``und``. Other columns aren't read.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
     labelled = docs.filter(F.col(declared_col).isNotNull() & text.isNotNull())
-    model = TextModel.fit([(r[0], r[1]) for r in bounded_sample(labelled, train_rows, text.alias("text"), F.col(declared_col).alias("lang"))])
-    languages, sent = model.languages, spark.sparkContext.broadcast(model)
+    languages, sample = _sample(labelled, text, F.col(declared_col), train_rows)
+    sent = spark.sparkContext.broadcast(TextModel.fit([(r[0], r[1]) for r in sample], languages))
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -125,8 +151,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     best = (F.array_position(own, F.array_max(own)) - 1).cast("int")
     has_text = (F.col("letters") > 0) & (TEMPER * (F.array_max(own) - F.element_at("ll", -1)) > math.log(UNKNOWN_PRIOR))
     scored = materialize(scored.withColumn("vote", F.when(has_text, best)), "scored")
+    at_word = (F.col("declared") != "") & ~F.col("declared").isin(languages) & (F.col("letters") > 0)
     if not k:
-        return scored.select("doc_id", "declared", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("accepted"))
+        return scored.select("doc_id", "declared", F.when(at_word, F.col("declared")).otherwise(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_language"), at_word.alias("accepted"))
 
     votes = [F.sum((F.col("vote") == i).cast("double")) for i in range(k)]
     counted = lambda by: materialize(scored.groupBy(by).agg(F.array(*[F.coalesce(v, F.lit(0.0)) for v in votes]).alias(f"{by}_votes"), F.count("*").alias("n")), by)
@@ -139,15 +166,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     rows = scored.count()
     joined = join_hot(join_hot(join_hot(scored, hosts, "host", total=rows).drop("n"), suffixes, "suffix", total=rows).drop("n"), declares, "declared", total=rows).drop("n")
     all_votes = sum(total)
+    voted = F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
+    size = lambda votes_: F.greatest(F.lit(0.0), F.aggregate(votes_, F.lit(0.0), lambda a, x: a + x) - voted)
+    joined = joined.withColumns({f"{by}_size": size(f"{by}_votes") for by in ("host", "suffix")})
 
     def evidence(i: int) -> Column:
         mine = F.when(F.col("vote") == i, 1.0).otherwise(0.0)
-        voted = F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
         less = lambda votes_: F.greatest(F.lit(0.0), F.col(votes_)[i] - mine)
-        size = lambda votes_: F.greatest(F.lit(0.0), F.aggregate(votes_, F.lit(0.0), lambda a, x: a + x) - voted)
         p_corpus = (F.lit(total[i]) - mine + CORPUS_STRENGTH / k) / (F.lit(all_votes) - voted + CORPUS_STRENGTH)
-        p_suffix = (less("suffix_votes") + SUFFIX_STRENGTH * p_corpus) / (size("suffix_votes") + SUFFIX_STRENGTH)
-        p_host = (less("host_votes") + HOST_STRENGTH * p_suffix) / (size("host_votes") + HOST_STRENGTH)
+        p_suffix = (less("suffix_votes") + SUFFIX_STRENGTH * p_corpus) / (F.col("suffix_size") + SUFFIX_STRENGTH)
+        p_host = (less("host_votes") + HOST_STRENGTH * p_suffix) / (F.col("host_size") + HOST_STRENGTH)
         p_declared = (less("declared_votes") + 1.0) / (F.lit(total[i]) - mine + max(1, kinds))
         return F.log(p_host) + F.log(p_declared) + F.lit(TEMPER) * F.col("ll")[i]
 
@@ -156,8 +184,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     posterior = 1 / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     name = lambda i: F.element_at(F.array(*[F.lit(x) for x in languages]), i)
     sure = F.col("vote").isNotNull() & (posterior >= LEAST_POSTERIOR)
-    found = F.when(sure, name(F.array_position("log", top).cast("int"))).otherwise(UNKNOWN)
-    return fused.select("doc_id", "declared", found.alias("language"), posterior.alias("posterior"), F.when(F.col("vote").isNotNull(), name(F.col("vote") + 1)).otherwise(UNKNOWN).alias("text_language"), sure.alias("accepted"))
+    found = F.when(sure, name(F.array_position("log", top).cast("int"))).when(at_word, F.col("declared")).otherwise(UNKNOWN)
+    return fused.select("doc_id", "declared", found.alias("language"), posterior.alias("posterior"), F.when(F.col("vote").isNotNull(), name(F.col("vote") + 1)).otherwise(UNKNOWN).alias("text_language"), (sure | at_word).alias("accepted"))
 
 
 def keep_identified(docs: DataFrame, **columns) -> DataFrame:

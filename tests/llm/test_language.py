@@ -46,6 +46,18 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
 
 
+def test_languages_of_a_small_share_are_classes(spark):
+    rng = random.Random(3)
+    greek, russian = ["το", "και", "της", "ναι", "ου"], ["не", "что", "ий", "ова", "по"]
+    say = lambda stems: " ".join("".join(rng.choice(stems) for _ in range(2)) for _ in range(40))
+    rows = [(i, text(rng, "en", 30), "en", "s") for i in range(1500)]
+    rows += [(2000 + i, say(greek), "el" if i else None, "s") for i in range(8)] + [(3000 + i, say(russian), "ru", "s") for i in range(2)]
+    found = {r.doc_id: (r.language, r.accepted) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), train_rows=200).collect()}
+    assert {found[2000 + i] for i in range(8)} == {("el", True)}
+    assert {found[3000 + i] for i in range(2)} == {("ru", True)}  # too few to learn, taken at their word
+    assert all(found[i] == ("en", True) for i in range(1500))
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "the of", None, "x")], "doc_id long, text string, lang string, source string")
     assert [(r.language, r.accepted) for r in language.identify(docs).collect()] == [("und", False)]
