@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.exact_dedup import squeezed
 from kinfold.llm.simhash import LOWER
 from kinfold.operators.components import component_ids
-from kinfold.runtime import anti_join_ids, join_hot, materialize
+from kinfold.runtime import anti_join_ids, join_hot, materialize, membership_bitmap, split_by_bitmap
 
 #: Words of a shingle, least words of a passage, least similarity.
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
@@ -189,7 +189,8 @@ def _windowed(flags: np.ndarray) -> np.ndarray:
     return total[WIDTH:] - total[:-WIDTH]
 
 
-#: Kinds of rows of the second pass: windows of a few, windows of many, stretches of LEAST_WORDS words.
+#: Kinds of rows of the second pass: windows of a few, windows of many as far as the filter tells, stretches of
+#: LEAST_WORDS words.
 FEW, MANY, BLOCK = 0, 1, 2
 _ROWS = "kind int, key long, node long, at int, after binary, before binary"
 
@@ -237,11 +238,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(repeated, frequent):
-    """Compact windows whose value others have too, with codes of the shingles around their centers, and blocks.
+    """Compact windows whose value others may have too, with codes of the shingles around their centers, and blocks.
 
+    Windows of all min-hashes are given: the filters clear values for certain, and what they can't clear is looked up.
     Blocks are all stretches of LEAST_WORDS words that hold the center of a frequent window of the first min-hash.
-    A stretch that is repeated elsewhere has its minimum in common with it, so the first min-hash finds them all;
-    frequent windows of the others aren't needed.
+    A stretch that is repeated elsewhere has its minimum in common with it, so the first min-hash finds them all.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,7 @@ def _windows(repeated, frequent):
                 keys = values[[c for _, c, _ in windows]]
                 many = _inside(often, keys)
                 codes = (found >> np.uint64(48)).astype("<u2")
-                for i in np.flatnonzero(_inside(seen, keys) if number == 0 else _inside(seen, keys) & ~many).tolist():
+                for i in np.flatnonzero(_inside(seen, keys)).tolist():
                     left, c, right = windows[i]
                     after, before = codes[c : min(right, c + WIDTH - 1) + 1], codes[max(left, c - WIDTH + 1) : c][::-1]
                     rows.append((MANY if many[i] else FEW, int(keys[i].view(np.int64)), node, c, after.tobytes(), before.tobytes()))
@@ -321,7 +322,7 @@ def passage_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges (a, b), spans (node, start, end)) of the repeated passages of (node, text), in words, end exclusive.
 
     First the min-hash values of all compact windows are counted. Windows of values that repeat are then compared:
-    all pairs of a value that up to PAIRWISE windows have. More frequent values, such as those of a line in every
+    all pairs of a value that up to PAIRWISE windows have, by the counts themselves and not by a filter of them. More frequent values, such as those of a line in every
     document, never meet in one task: their repeated stretches of LEAST_WORDS words are grouped by hash, which
     finds every exact passage, and windows next to each other in the order of the words after and before their
     centers are compared, for near ones.
@@ -335,6 +336,13 @@ def passage_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialize(slim.mapInArrow(_windows(repeated, frequent), _ROWS), "windows")
     columns = ["key", "node", "at", "after", "before"]
     few, large = (found.filter(F.col("kind") == kind).select(*columns) for kind in (FEW, MANY))
+    # values of a few that the filter of frequent ones takes for frequent: looked up in the counts
+    often = counts.filter(F.col("n") > PAIRWISE).select("key")
+    mistaken = materialize(large.select("key").distinct().join(often, "key", "left_anti"), "mistaken")
+    marked = split_by_bitmap(large, membership_bitmap(mistaken, "key"), F.col("key"))
+    maybe, clear = marked.filter("kf_maybe_").select(*columns), marked.filter("NOT kf_maybe_").select(*columns)
+    few = few.unionByName(maybe.join(mistaken, "key", "left_semi"))
+    large = clear.unionByName(maybe.join(mistaken, "key", "left_anti"))
     link = "a long, b long, a_start long, a_end long, b_start long, b_end long"
     pairs = few.repartition("key").sortWithinPartitions("key", "after", "before", "node", "at").mapInArrow(_compare(True), link)
     for order in (["key", "after", "before", "node", "at"], ["key", "before", "after", "node", "at"]):

@@ -87,5 +87,22 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert len(found[66].spans) == 2
 
 
+def test_values_that_the_filter_takes_for_frequent_are_compared_as_rare_ones(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        one = words(rng, 60)
+        other = list(one)
+        other[rng.randrange(25, 35)] = "changed"
+        texts += [" ".join(one), " ".join(other)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    edges = lambda: {tuple(sorted(r)) for r in P.passage_links(nodes)[0].collect() if r.a != r.b}
+    right = edges()
+    assert len(right) > 36 and all(b == a + 1 and a % 2 == 0 for a, b in right)
+    full = np.full(P._BUCKETS * P._BITS // 8, 255, np.uint8)
+    monkeypatch.setattr(P, "_filter", lambda keys: full)  # every value collides with a frequent one
+    assert edges() == right
+
+
 def test_empty(spark):
     assert P.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
