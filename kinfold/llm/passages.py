@@ -17,17 +17,21 @@ from kinfold.runtime import anti_join_ids, join_hot, materialize, membership_bit
 
 #: Words of a shingle, least words of a passage, least similarity.
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
-#: Shingles of the shortest passage: no compact window is narrower.
+#: Shingles of the shortest passage.
 WIDTH = LEAST_WORDS - SHINGLE + 1
 #: Shingles that the shortest similar stretches have in common at least.
 LEAST_SHARED = int(np.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY) - 1e-9))
-#: Min-hash functions. A passage of similarity s escapes all of them with probability (1 - s) ** HASHES.
-HASHES = 3
-#: Windows of one min-hash value that are compared pair by pair; larger groups go by exact blocks and by order.
+#: So they lack five each at most: one word put in, taken out or changed inside (or a few at the ends) cuts what they
+#: share in two, and the longer part is a run of this many shingles. Every min-hash has its minimum over that run at
+#: the same place in both, so compact windows of this width of a single min-hash meet for every similar pair.
+RUN = -(-LEAST_SHARED // 2)
+#: Shingles that one word put in, or one taken out or changed, breaks.
+GAPS = (SHINGLE - 1, SHINGLE)
+#: Windows of one min-hash value that are compared pair by pair; more frequent values go by their blocks.
 PAIRWISE = 16
-#: Bits of the filters of repeated and of frequent values: 8 MB each, at any size.
-_BUCKETS, _BITS = 2048, 32768
-_SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"passage", s)) for s in range(HASHES)]
+#: Bits of a filter, by the number of its values (16 each) and between these bounds: 32 MB at most.
+_LEAST_BITS, _MOST_BITS, _BITS = 20, 28, 32768
+_SEED = np.uint64(xxhash.xxh64_intdigest(b"passage", 0))
 _MIX, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,8 +83,8 @@ def shingles(text: bytes) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def min_hash(shingle: np.ndarray, seed: np.uint64) -> np.ndarray:
-    x = (shingle ^ seed) * _MIX
+def min_hash(shingle: np.ndarray) -> np.ndarray:
+    x = (shingle ^ _SEED) * _MIX
     return x ^ (x >> np.uint64(32))
 
 
@@ -93,7 +97,7 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[..., : out.shape[-1] - rest], out[..., rest:]) if rest else out
 
 
-def minima(values: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def minima(values: np.ndarray, width: int = RUN) -> np.ndarray:
     """Which places hold the minimum of some stretch of width; rows are apart. Equal values count both."""
     if values.shape[-1] < width:
         return np.zeros(values.shape, bool)
@@ -102,7 +106,7 @@ def minima(values: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return _sliding(np.concatenate([edge, low, edge], axis=-1), width, np.maximum) == values
 
 
-def compact_windows(values: np.ndarray, centers: np.ndarray | None = None, width: int = WIDTH) -> list[tuple[int, int, int]]:
+def compact_windows(values: np.ndarray, centers: np.ndarray | None = None, width: int = RUN) -> list[tuple[int, int, int]]:
     """(left, center, right), inclusive: every stretch within [left, right] that holds center has its minimum there.
 
     These are the nodes of the Cartesian tree whose spans are at least width, ties to the left. A node's ancestors
@@ -120,12 +124,6 @@ def compact_windows(values: np.ndarray, centers: np.ndarray | None = None, width
     return [(x, c, y) for x, c, y in zip(left, places, right) if y - x >= width - 1]
 
 
-def block_hashes(shingle: np.ndarray) -> np.ndarray:
-    """Hash of every stretch of WIDTH shingles, that is of LEAST_WORDS words."""
-    at = np.arange(max(0, len(shingle) - WIDTH + 1))
-    return stretch_hashes(shingle, at, at + WIDTH)
-
-
 class Codes:
     """Codes of the shingles from a center on and, backwards, before it; as a set too, for a quick refusal."""
 
@@ -178,35 +176,46 @@ def same_passage(a: Codes, b: Codes) -> tuple[int, int] | None:
     shared = np.minimum(_windowed(_held_in(x, y)), _windowed(_held_in(y, x)))
     good = np.flatnonzero(shared >= LEAST_SHARED)
     good = good[(good <= before) & (good + WIDTH > before)]
-    if not len(good):
+    if not len(good) or not any(_similar(x, y, int(i)) for i in {good[0], good[len(good) // 2], good[-1]}):
         return None
     return before - int(good[0]), int(good[-1]) + WIDTH - before
 
 
+def _similar(x: np.ndarray, y: np.ndarray, at: int) -> bool:
+    """Whether the stretch of x from at on reaches SIMILARITY with y's at that place or, after an edit, one beside."""
+    mine = set(x[at : at + WIDTH].tolist())
+    others = (set(y[max(0, at + d) : at + d + WIDTH].tolist()) for d in (0, -1, 1))
+    return any(len(mine & other) >= SIMILARITY * len(mine | other) for other in others)
+
+
 def _windowed(flags: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[WIDTH:] - total[:-WIDTH]
 
 
-#: Kinds of rows of the second pass: windows of a few, windows of many as far as the filter tells, stretches of
-#: LEAST_WORDS words.
-FEW, MANY, BLOCK = 0, 1, 2
-_ROWS = "kind int, key long, node long, at int, after binary, before binary"
+#: Kinds of rows of the passes over the texts: windows of a few, shingles near windows of many; stretches of LEAST_WORDS
+#: words that others may have too, and parts of them that an edit may leave.
+FEW, NEAR, BLOCK, PART = 0, 1, 2, 3
+_WINDOW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("after", pa.binary()), ("before", pa.binary())] + [(c, pa.int64()) for c in ("next_min", "next_max", "last_min", "last_max")])
+_STRETCH = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("block", pa.int64())])
+_WINDOW_ROWS = "kind int, key long, node long, at int, after binary, before binary, next_min long, next_max long, last_min long, last_max long"
+_STRETCH_ROWS = "kind int, key long, node long, at int, block long"
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """One-hash filter of the keys, as bits; 8 MB at most reach the driver."""
-    at = F.pmod("key", F.lit(_BUCKETS * _BITS))
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
+    """One-hash filter of n keys, as bits; 32 MB at most reach the driver."""
+    buckets = 1 << (min(_MOST_BITS, max(_LEAST_BITS, (16 * n).bit_length())) - _BITS.bit_length() + 1)
+    at = F.pmod("key", F.lit(buckets * _BITS))
     rows = keys.groupBy((at / _BITS).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(at % _BITS).alias("bits"))
-    out = np.zeros((_BUCKETS, _BITS // 8), np.uint8)
+    out = np.zeros((buckets, _BITS // 8), np.uint8)
     for bucket, bits in rows.collect():
         out[bucket] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
 
 def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.int64) % (_BUCKETS * _BITS)
+    at = keys.view(np.int64) & np.int64(8 * len(bits) - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -218,145 +227,247 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.n
                 yield node, found
 
 
-def _hashes(found: np.ndarray) -> np.ndarray:
-    return np.stack([min_hash(found, seed) for seed in _SEEDS])
-
-
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Min-hash values of the centers of all compact windows (and of ties, which only adds to counts)."""
     held: list[np.ndarray] = []
     size = 0
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["key"])
+
     for _, found in _text_batches(batches):
-        values = _hashes(found)
+        values = min_hash(found)
         held.append(values[minima(values)])
         size += len(held[-1])
         if size > 200_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["key"])
+            yield sent()
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["key"])
+        yield sent()
 
 
-def _windows(repeated, frequent):
-    """Compact windows whose value others may have too, with codes of the shingles around their centers, and blocks.
+def _area(n: int, centers: np.ndarray) -> np.ndarray:
+    """Which of n shingles a stretch of WIDTH shingles with one of the centers can hold."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.maximum(0, centers - WIDTH + 1), 1)
+    np.add.at(edge, np.minimum(n, centers + WIDTH), -1)
+    return np.cumsum(edge[:n]) > 0
 
-    Windows of all min-hashes are given: the filters clear values for certain, and what they can't clear is looked up.
-    Blocks are all stretches of LEAST_WORDS words that hold the center of a frequent window of the first min-hash.
-    A stretch that is repeated elsewhere has its minimum in common with it, so the first min-hash finds them all.
-    """
+
+def _windows(repeated, frequent):
+    """Compact windows of values that a few others may have, with codes of the shingles around their centers; and of
+    each shingle near a window of a value that many have, how often it stands there and between which others."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, often = repeated.value, frequent.value
         rows: list[tuple] = []
+        near: list[np.ndarray] = []
+        held = 0
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _WINDOW.types)], schema=_WINDOW)
+
+        def counted() -> pa.RecordBatch:
+            values, after, before = np.concatenate(near, axis=1)
+            order = np.argsort(values)
+            values = values[order]
+            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            n, none = np.diff(np.r_[first, len(values)]), pa.nulls(len(first), pa.binary())
+            ends = [f.reduceat(side[order].view(np.int64), first) for side in (after, before) for f in (np.minimum, np.maximum)]
+            columns = [np.full(len(n), NEAR, np.int32), values[first].view(np.int64), n.astype(np.int64), np.zeros(len(n), np.int32), none, none, *ends]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_WINDOW)
+
         for node, found in _text_batches(batches):
-            every = _hashes(found)
-            for number, (values, low) in enumerate(zip(every, minima(every))):
-                centers = np.flatnonzero(low)
-                if not _inside(seen, values[centers]).any():
-                    continue
-                windows = compact_windows(values, centers)
-                keys = values[[c for _, c, _ in windows]]
-                many = _inside(often, keys)
+            values = min_hash(found)
+            centers = np.flatnonzero(minima(values))
+            known = _inside(seen, values[centers])
+            if not known.any():
+                continue
+            many = known & _inside(often, values[centers])
+            if many.any():
+                area = _area(len(found), centers[many])
+                between = np.r_[np.uint64(0), found, np.uint64(0)]
+                near.append(np.stack([found[area], between[2:][area], between[:-2][area]]))
+                held += near[-1].shape[1]
+            few = set(centers[known & ~many].tolist())
+            if few:
                 codes = (found >> np.uint64(48)).astype("<u2")
-                for i in np.flatnonzero(_inside(seen, keys)).tolist():
-                    left, c, right = windows[i]
-                    after, before = codes[c : min(right, c + WIDTH - 1) + 1], codes[max(left, c - WIDTH + 1) : c][::-1]
-                    rows.append((MANY if many[i] else FEW, int(keys[i].view(np.int64)), node, c, after.tobytes(), before.tobytes()))
-                if number == 0 and many.any():
-                    starts = np.unique(np.concatenate([np.arange(max(x, c - WIDTH + 1), min(c, y - WIDTH + 1) + 1) for (x, c, y), big in zip(windows, many) if big]))
-                    hashes = stretch_hashes(found, starts, starts + WIDTH).view(np.int64)
-                    rows += [(BLOCK, k, node, at, None, None) for k, at in zip(hashes.tolist(), starts.tolist())]
+                for _, c, _ in compact_windows(values, centers):
+                    if c in few:
+                        after, before = codes[c : c + WIDTH], codes[max(0, c - WIDTH + 1) : c][::-1]
+                        rows.append((FEW, int(values[c].view(np.int64)), node, c, after.tobytes(), before.tobytes(), None, None, None, None))
             if len(rows) > 20_000:
-                yield _batch(rows)
-                rows = []
+                yield sent()
+                rows.clear()
+            if held > 500_000:
+                yield counted()
+                near, held = [], 0
         if rows:
-            yield _batch(rows)
+            yield sent()
+        if near:
+            yield counted()
 
     return find
 
 
-_SCHEMA = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
+def _parts(masked: np.ndarray, there: np.ndarray, forks: np.ndarray, joins: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, place, key of the stretch) of LEAST_SHARED shingles that may remain of a stretch after one edit.
+
+    They are its beginning and its end around a gap, or the run it begins with. The shingle ahead of an edit is followed by another one
+    in the other text, and the one behind it preceded by another, so only such places are cut.
+    """
+    n = len(masked)
+    up, down = _POWERS.upto(n + 1)
+    sums, holes = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64)
+    np.cumsum(masked * up[:n], out=sums[1:])
+    np.cumsum(~there, out=holes[1:])
+    mixed = lambda x: (x ^ (x >> np.uint64(31))) * _MIX
+    for gap in GAPS:
+        cuts = np.flatnonzero(forks[: n - gap - 1] & joins[gap + 1 :]) + 1
+        low, high = np.searchsorted(starts, cuts - LEAST_SHARED + 1), np.searchsorted(starts, cuts)
+        many = high - low
+        if not many.sum():
+            continue
+        which = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        s, cut = starts[which], np.repeat(cuts, many)
+        end = gap + s + LEAST_SHARED
+        good = end <= n
+        which, s, cut, end = which[good], s[good], cut[good], end[good]
+        good = holes[cut] - holes[s] + holes[end] - holes[cut + gap] == 0
+        which, s, cut, end = which[good], s[good], cut[good], end[good]
+        yield mixed((sums[cut] - sums[s] + (sums[end] - sums[cut + gap]) * down[gap]) * down[s]), s, keys[which]
+    for skip in range(WIDTH - LEAST_SHARED + 1):  # only at the end of a text does no stretch begin with a run
+        which = np.flatnonzero((holes[starts + skip + LEAST_SHARED] == holes[starts + skip]) & ((skip == 0) | (starts == n - WIDTH)))
+        at = starts[which] + skip
+        yield mixed((sums[at + LEAST_SHARED] - sums[at]) * down[at]), at, keys[which]
+
+
+def _blocks(frequent, shared, forking, joining):
+    """Stretches of WIDTH shingles near windows of many, if all but a few of their shingles stand near others too.
+
+    The others are left out of a stretch's hash, so copies with an edit of their own at one place have one key. The
+    parts of a key are sent the first time that a task meets it.
+    """
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, common, fork, join = frequent.value, shared.value, forking.value, joining.value
+        rows: list[tuple] = []
+        done: set[int] = set()
+        held = 0
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
+        def sent() -> pa.RecordBatch:
+            sizes = [len(r[2]) for r in rows]
+            kinds, nodes = (np.repeat(np.array([r[i] for r in rows], t), sizes) for i, t in ((0, np.int32), (1, np.int64)))
+            keys, at, block = (np.concatenate([r[i] for r in rows]) for i in (2, 3, 4))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds, keys.view(np.int64), nodes, at.astype(np.int32), block.view(np.int64))], schema=_STRETCH)
+
+        for node, found in _text_batches(batches):
+            values = min_hash(found)
+            centers = np.flatnonzero(minima(values))
+            centers = centers[_inside(often, values[centers])]
+            if not len(centers):
+                continue
+            there = _area(len(found), centers)
+            there[there] = _inside(common, found[there])
+            starts = np.flatnonzero(_windowed(there) >= LEAST_SHARED)
+            if not len(starts):
+                continue
+            masked = np.where(there, found, np.uint64(0))
+            keys = stretch_hashes(masked, starts, starts + WIDTH)
+            rows.append((BLOCK, node, keys, starts, keys))
+            held += len(keys)
+            fresh = np.zeros(len(keys), bool)
+            fresh[np.unique(keys, return_index=True)[1]] = True
+            fresh &= np.array([k not in done for k in keys.tolist()], bool)
+            if fresh.any():
+                done.update(keys[fresh].tolist())
+                forks, joins = there.copy(), there.copy()
+                forks[there], joins[there] = _inside(fork, found[there]), _inside(join, found[there])
+                for part, place, key in _parts(masked, there, forks, joins, starts[fresh], keys[fresh]):
+                    rows.append((PART, node, part, place, key))
+                    held += len(part)
+            if len(done) > 1_000_000:
+                done.clear()
+            if held > 100_000:
+                yield sent()
+                held = rows.clear() or 0
+        if rows:
+            yield sent()
 
+    return find
 
-def _compare(all_pairs: bool):
-    """Verified links among the windows of each key, which come in order of their codes.
 
-    Windows of equal codes are linked to the first of them; of different ones, the first are compared: all pairs, or
-    each with the one before.
-    """
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links among the windows of each key, which come in order of their codes: all pairs of different codes;
+    windows of equal codes are linked to the first of them."""
     names = ["a", "b", "a_start", "a_end", "b_start", "b_end"]
+    firsts: list[tuple] = []
+    key, out = None, []
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts: list[tuple] = []
-        key, out = None, []
+    def add(other: int, there: int, node: int, at: int, back: int, run: int) -> None:
+        out.append((other, node, there - back, there + run + SHINGLE - 1, at - back, at + run + SHINGLE - 1))
 
-        def add(other: int, there: int, node: int, at: int, back: int, run: int) -> None:
-            out.append((other, node, there - back, there + run + SHINGLE - 1, at - back, at + run + SHINGLE - 1))
-
-        for batch in batches:
-            for k, node, at, after, before in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if k != key:
-                    key, firsts = k, []
-                if firsts and firsts[-1][2] == after and firsts[-1][3] == before:
+    for batch in batches:
+        for k, node, at, after, before in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if k != key:
+                key, firsts = k, []
+            if firsts and firsts[-1][2] == after and firsts[-1][3] == before:
+                if len(after) + len(before) >= 2 * WIDTH:
                     add(*firsts[-1][:2], node, at, len(before) // 2, len(after) // 2)
-                    continue
-                mine = (node, at, after, before, Codes(after, before))
-                for other in firsts:
-                    if found := same_passage(other[4], mine[4]):
-                        add(*other[:2], node, at, *found)
-                firsts = [*firsts, mine] if all_pairs else [mine]
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
-                out.clear()
-        if out:
+                continue
+            mine = (node, at, after, before, Codes(after, before))
+            for other in firsts:
+                if found := same_passage(other[4], mine[4]):
+                    add(*other[:2], node, at, *found)
+            firsts.append(mine)
+        if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
-
-    return links
+            out.clear()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
 
 def passage_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges (a, b), spans (node, start, end)) of the repeated passages of (node, text), in words, end exclusive.
 
-    First the min-hash values of all compact windows are counted. Windows of values that repeat are then compared:
-    all pairs of a value that up to PAIRWISE windows have, by the counts themselves and not by a filter of them. More frequent values, such as those of a line in every
-    document, never meet in one task: their repeated stretches of LEAST_WORDS words are grouped by hash, which
-    finds every exact passage, and windows next to each other in the order of the words after and before their
-    centers are compared, for near ones.
+    The min-hash values of all compact windows are counted first. Windows of a value that up to PAIRWISE have meet in
+    one task and are compared pair by pair. Windows of more frequent values, such as those of a line in every
+    document, never do: of the stretches around them, those whose shingles stand around others too are grouped by
+    content, and each distinct content is grouped by every part that may remain of it after one edit. Both are stars,
+    linear in the windows, and lose no pair. Filters only clear values that certainly are of no interest: a value that
+    a full filter takes for frequent goes the other way, which finds its pairs as well.
     """
     spark = nodes.sparkSession
+    sent = lambda table: spark.sparkContext.broadcast(_filter(table, table.count()))
     slim = nodes.select("node", F.col("text").cast("binary").alias("text"))
-    counts = slim.mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    counts = materialize(counts, "counts")
-    repeated, frequent = (spark.sparkContext.broadcast(_filter(counts.filter(f"n > {n}"))) for n in (1, PAIRWISE))
-
-    found = materialize(slim.mapInArrow(_windows(repeated, frequent), _ROWS), "windows")
-    columns = ["key", "node", "at", "after", "before"]
-    few, large = (found.filter(F.col("kind") == kind).select(*columns) for kind in (FEW, MANY))
-    # values of a few that the filter of frequent ones takes for frequent: looked up in the counts
-    often = counts.filter(F.col("n") > PAIRWISE).select("key")
-    mistaken = materialize(large.select("key").distinct().join(often, "key", "left_anti"), "mistaken")
-    marked = split_by_bitmap(large, membership_bitmap(mistaken, "key"), F.col("key"))
-    maybe, clear = marked.filter("kf_maybe_").select(*columns), marked.filter("NOT kf_maybe_").select(*columns)
-    few = few.unionByName(maybe.join(mistaken, "key", "left_semi"))
-    large = clear.unionByName(maybe.join(mistaken, "key", "left_anti"))
+    counts = materialize(slim.mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    repeated, frequent = sent(counts), sent(counts.filter(F.col("n") > PAIRWISE))
+
+    found = materialize(slim.mapInArrow(_windows(repeated, frequent), _WINDOW_ROWS), "windows")
+    few = found.filter(F.col("kind") == FEW).select("key", "node", "at", "after", "before")
     link = "a long, b long, a_start long, a_end long, b_start long, b_end long"
-    pairs = few.repartition("key").sortWithinPartitions("key", "after", "before", "node", "at").mapInArrow(_compare(True), link)
-    for order in (["key", "after", "before", "node", "at"], ["key", "before", "after", "node", "at"]):
-        pairs = pairs.unionByName(large.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(False), link))
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(few.repartition("key").sortWithinPartitions("key", "after", "before", "node", "at").mapInArrow(_compare, link), "pairs")
 
+    ends = [f(c).alias(c) for c, f in (("next_min", F.min), ("next_max", F.max), ("last_min", F.min), ("last_max", F.max))]
+    near = materialize(found.filter(F.col("kind") == NEAR).groupBy("key").agg(F.sum("node").alias("n"), *ends).filter("n > 1"), "near")
+    filters = [sent(near), sent(near.filter("next_min <> next_max")), sent(near.filter("last_min <> last_max"))]
+    found = materialize(slim.mapInArrow(_blocks(frequent, *filters), _STRETCH_ROWS), "blocks")
     blocks = found.filter(F.col("kind") == BLOCK).select("key", "node", "at")
-    same = materialize(blocks.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"), "same")
-    hits = materialize(join_hot(blocks, same, "key", "inner", total=blocks.count()).select("node", "least", "at"), "hits")
-
-    edges = pairs.select("a", "b").unionByName(hits.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+    parts = found.filter(F.col("kind") == PART).select(F.col("key").alias("part"), "node", "at", F.col("block").alias("key"))
+    groups = parts.groupBy("part").agg(F.min("node").alias("least"), F.min(F.struct("node", "at")).alias("first"), F.max(F.struct("node", "at")).alias("last"), F.count("*").alias("n"))
+    groups = materialize(groups.filter("first <> last").select("part", "least", "n"), "groups")
+    alike = materialize(join_hot(parts, groups, "part", "inner").select("key", "node", "least").distinct(), "alike")
+    sizes = blocks.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    known = materialize(sizes.join(alike.select("key", F.lit(True).alias("alike")).distinct(), "key", "left").filter("n > 1 OR alike").drop("alike"), "same")
+    hits = materialize(join_hot(blocks, known, "key", "inner").select("node", "least", "at"), "hits")
+
+    stars = hits.select(F.col("least").alias("a"), F.col("node").alias("b"))
+    edges = pairs.select("a", "b").unionByName(stars).unionByName(alike.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
     ends = F.array(F.struct(F.col("a").alias("node"), F.col("a_start").alias("start"), F.col("a_end").alias("end")), F.struct(F.col("b").alias("node"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))
-    spans = pairs.select(F.inline(ends)).unionByName(hits.select("node", F.col("at").cast("long").alias("start"), (F.col("at") + LEAST_WORDS).cast("long").alias("end"))).distinct()
-    return edges, spans
+    spans = pairs.select(F.inline(ends)).unionByName(hits.select("node", F.col("at").cast("long").alias("start"), (F.col("at") + LEAST_WORDS).cast("long").alias("end")))
+    # spans that begin within the length of a passage overlap, so each such stretch of a text needs one
+    near_by = F.floor(F.col("start") / LEAST_WORDS)
+    return edges, spans.groupBy("node", near_by.alias("part")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
 def _merged(spans):
@@ -388,7 +499,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = materialize(slim.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("copies"), F.count("*").alias("n")), "classes")
     rows = materialize(join_hot(slim, classes, "sig", "inner").select("doc_id", "words", "least", "copies"), "rows")
     copies = materialize(rows.filter("doc_id <> least").select("doc_id").distinct(), "copies")
-    edges, spans = passage_links(anti_join_ids(raw, copies, "doc_id").select(F.col("doc_id").alias("node"), "text"))
+    texts = anti_join_ids(raw, copies, "doc_id")
+    twice = materialize(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").join(copies, "doc_id", "left_anti").select("doc_id"), "twice")
+    if not twice.isEmpty():  # rows that repeat id and text are one
+        maybe = split_by_bitmap(raw, membership_bitmap(twice, "doc_id"), F.col("doc_id")).filter("kf_maybe_").select("doc_id", "text")
+        texts = anti_join_ids(texts, twice, "doc_id").unionByName(maybe.join(twice, "doc_id", "left_semi").distinct())
+    edges, spans = passage_links(texts.select(F.col("doc_id").alias("node"), "text"))
 
     roots = component_ids(edges)
     merged = spans.groupBy("node").agg(_merged(F.collect_list(F.struct("start", "end"))).alias("spans"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from kinfold.llm import passages as P
 
@@ -23,14 +24,14 @@ def test_compact_windows_cover_every_stretch():
         assert sorted(P.compact_windows(values, width=7)) == slow_windows(values, 7)
 
 
-def test_block_hashes_depend_on_content_only():
+def test_stretch_hashes_depend_on_content_only():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (200, 300))
     b[120:220] = a[30:130]
-    x, y = P.block_hashes(a), P.block_hashes(b)
-    assert len(x) == 200 - P.WIDTH + 1
-    assert (x[30 : 131 - P.WIDTH] == y[120 : 221 - P.WIDTH]).all()
-    assert len({*x.tolist(), *y.tolist()}) == len(x) + len(y) - (101 - P.WIDTH)
+    hashes = lambda x: P.stretch_hashes(x, np.arange(len(x) - 45), np.arange(46, len(x) + 1))
+    x, y = hashes(a), hashes(b)
+    assert (x[30:85] == y[120:175]).all()
+    assert len({*x.tolist(), *y.tolist()}) == len(x) + len(y) - 55
 
 
 def words(rng, n):
@@ -87,21 +88,78 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert len(found[66].spans) == 2
 
 
-def test_values_that_the_filter_takes_for_frequent_are_compared_as_rare_ones(spark, monkeypatch):
+def shingle_sets(body):
+    """Shingle set of every stretch of 50 words."""
+    runs = [tuple(body[i : i + 5]) for i in range(len(body) - 4)]
+    return [set(runs[i : i + 46]) for i in range(len(runs) - 45)]
+
+
+def similar(x, y):
+    """Whether a stretch of x reaches 0.8 with the one of y at its place or one beside (passages are aligned here)."""
+    return any(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(x) for b in y[max(0, i - 1) : i + 2])
+
+
+def edited(rng, passage, kind):
+    out, at = list(passage), rng.randrange(2, len(passage) - 2)
+    out[at : at + (kind != "put in")] = [] if kind == "taken out" else words(rng, 1)
+    return out
+
+
+@pytest.mark.parametrize("copies", [2, 12, 60])
+@pytest.mark.parametrize("partitions", [1, 4, 64])
+def test_all_near_repeats_are_linked(spark, copies, partitions):
+    """Against all pairs: few copies go pair by pair, many by the stars; neither depends on the partitions."""
+    rng = random.Random(copies)
+    docs, group = [], []
+    for g in range(2 if copies > 12 else 6):
+        passage = words(rng, rng.choice([52, 60, 90]))
+        for i in range(copies):
+            docs.append(edited(rng, passage, rng.choice(["changed", "put in", "taken out"])) if i else passage)
+            group.append(g)
+    line = words(rng, 20)  # stands in all texts and is no passage
+    texts = [" ".join([*words(rng, rng.randrange(40)), *line, *words(rng, 9), *d, *words(rng, rng.randrange(60))]) for d in docs]
+    sets = [shingle_sets(d) for d in docs]
+    want = [(i, j) for i in range(len(docs)) for j in range(i) if group[i] == group[j] and similar(sets[i], sets[j])]
+    found = P.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions))
+    classes = {r.doc_id: r.class_id for r in found.collect()}
+    assert len(want) > copies / 2
+    assert all(classes.get(i, -1) == classes.get(j, -2) for i, j in want)
+    assert all(len({group[i] for i, c in classes.items() if c == k}) == 1 for k in set(classes.values()))
+
+
+@pytest.mark.parametrize("full", ["repeated", "frequent", "near"])
+def test_full_filters_lose_nothing(spark, monkeypatch, full):
+    """A filter that takes every value in (as at sizes far beyond its own) leads to the same classes."""
     rng = random.Random(6)
     texts = []
-    for _ in range(40):
-        one = words(rng, 60)
-        other = list(one)
-        other[rng.randrange(25, 35)] = "changed"
-        texts += [" ".join(one), " ".join(other)]
-    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    edges = lambda: {tuple(sorted(r)) for r in P.passage_links(nodes)[0].collect() if r.a != r.b}
-    right = edges()
-    assert len(right) > 36 and all(b == a + 1 and a % 2 == 0 for a, b in right)
-    full = np.full(P._BUCKETS * P._BITS // 8, 255, np.uint8)
-    monkeypatch.setattr(P, "_filter", lambda keys: full)  # every value collides with a frequent one
-    assert edges() == right
+    for _ in range(10):
+        one = words(rng, 70)
+        texts += [" ".join(one), " ".join(edited(rng, one, "changed"))]
+    hot = words(rng, 70)
+    texts += [" ".join([*words(rng, 30), *edited(rng, hot, "changed")]) for _ in range(30)] + [" ".join(hot)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = lambda: sorted((r.doc_id, r.class_id) for r in P.repeated_passages(nodes).collect())
+    right = classes()
+    assert [d for d, _ in right] == list(range(51)) and len({c for _, c in right}) == 11
+    whole, calls = P._filter, []
+
+    def filled(keys, n):
+        calls.append(n)
+        real = whole(keys, n)
+        return np.full_like(real, 255) if ["repeated", "frequent", "near"].index(full) == min(len(calls) - 1, 2) else real
+
+    monkeypatch.setattr(P, "_filter", filled)
+    assert classes() == right
+
+
+def test_repeated_rows_and_long_texts(spark):
+    rng = random.Random(3)
+    passage = words(rng, 52)
+    long = [*words(rng, 30_000), *passage, *words(rng, 30_000)]
+    rows = [(1, " ".join(long)), (1, " ".join(long)), (2, " ".join(passage)), (3, "q " * 20_000), (4, "")]
+    found = {r.doc_id: r for r in P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.class_id for i, r in found.items() if i != 3} == {1: 1, 2: 1}
+    assert [tuple(s) for s in found[1].spans] == [(30_000, 30_052)]
 
 
 def test_empty(spark):
