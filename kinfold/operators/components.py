@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.runtime import discard, materialize
+from kinfold.runtime import discard, join_hot, materialize, tidy
 
 
+@tidy
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edge list; two nodes share a root exactly when a path joins them.
 
@@ -44,10 +45,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return materialize(names.join(root, "h", "left").select("node", F.coalesce("up", "h").alias("root")), "roots")
 
 
+@tidy
 def component_ids(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) where component is the smallest node reachable."""
     roots = components(edges, a, b)
     least = materialize(roots.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")), "least")
-    from kinfold.runtime import join_hot
-
     return join_hot(roots, least, "root", "inner").select("node", "component")

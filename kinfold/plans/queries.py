@@ -19,7 +19,7 @@ from kinfold.operators import extract, resolve, survivorship
 from kinfold.operators.components import component_ids
 from kinfold.plans import linkage, metrics
 from kinfold.plans.project import OutputConfig, project
-from kinfold.runtime import materialize
+from kinfold.runtime import materialize, tidy
 from kinfold.sources.readers import first_occurrences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = tidy(f)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, local runs).
+#: Used only where the session names no shared folder and all tasks run on this machine (tests, local runs).
 LOCAL_SHARED = "file:///tmp/checkpoints"
 #: A key is hot when it holds at least 1/HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
@@ -15,25 +18,74 @@ HOT_SHARE = 1000
 BITMAP_BUCKETS, BITMAP_BITS = 1024, 32768
 
 
+#: Names of the written intermediates that the calls on the way have made and not deleted yet.
+_made: list[str] = []
+_NAME = re.compile("kinfold-[0-9a-f]{32}")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as the session names it."""
+    """The folder that the driver and all executors see, as the session or its context names it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and (set_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        found = set_.get()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (found or LOCAL_SHARED).rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder for intermediates. It is deleted when the application's process ends, if not before."""
+    name = f"kinfold-{uuid.uuid4().hex}"
+    path, fs = _path(spark, name)
+    fs.deleteOnExit(path)
+    _made.append(name)
+    return f"{shared_dir(spark)}/{name}"
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs a re-read."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/kinfold-{uuid.uuid4().hex}/{name}"
+    path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _reads(df: DataFrame) -> set[str]:
+    """Names of the intermediates that df's plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return {name for i in range(leaves.size()) if (leaf := leaves.apply(i)).getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation" for name in _NAME.findall(leaf.relation().location().rootPaths().toString())}
+
+
+def _delete(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        path, fs = _path(spark, name)
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
+        _made[:] = [x for x in _made if x != name]
 
 
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(conf).delete(path.getParent(), True)
+    _delete(df.sparkSession, sorted(_reads(df)))
+
+
+def tidy(f: Callable) -> Callable:
+    """f, which returns a DataFrame or several; intermediates it wrote that none of them reads are deleted on return."""
+
+    @wraps(f)
+    def call(*args, **named):
+        before = len(_made)
+        out = f(*args, **named)
+        frames = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+        still = set().union(*map(_reads, frames))
+        _delete(frames[0].sparkSession, [x for x in _made[before:] if x not in still])
+        return out
+
+    return call
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "left", n: str = "n", total: int | None = None) -> DataFrame:
