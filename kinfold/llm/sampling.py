@@ -9,16 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_sample(df: DataFrame, rows: int, *columns: Column) -> list:
+def bounded_sample(df: DataFrame, rows: int, chars: int, *columns: Column) -> list:
     """columns of at most ``rows`` rows of df, those whose values hash lowest; a pure function of df's content.
 
-    Hashes are ranked first and the rows fetched by a broadcast of at most ``rows`` hashes, so no task or driver
-    holds more than that many texts.
+    The first column is text: rows are taken in the order of their hashes while their texts have at most ``chars``
+    characters together. Hashes and lengths are ranked first and the rows fetched by a broadcast of their hashes, so
+    no task or driver holds more.
     """
     picked = df.select(*columns)
     hashed = picked.withColumn("hash_", F.xxhash64(*picked.columns))
-    least = hashed.select("hash_").distinct().orderBy("hash_").limit(rows)
-    return hashed.join(F.broadcast(least), "hash_").dropDuplicates(["hash_"]).orderBy("hash_").drop("hash_").collect()
+    ranked = hashed.groupBy("hash_").agg(F.max(F.char_length(picked.columns[0])).alias("size_")).orderBy("hash_").limit(rows)
+    least, held = [], 0
+    for h, size in ranked.collect():
+        held += size or 0
+        if held <= chars:
+            least.append((h,))
+    sent = df.sparkSession.createDataFrame(least, "hash_ long")
+    return hashed.join(F.broadcast(sent), "hash_").dropDuplicates(["hash_"]).orderBy("hash_").drop("hash_").collect()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

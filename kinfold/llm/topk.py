@@ -2,49 +2,61 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.runtime import materialize
+from kinfold.runtime import materialize, tidy
 
 #: Components become floor(SCALE * x).
 SCALE = 1024
-#: Rows of one index block and queries of one query block; a cell pairs one of each.
+#: Rows of one index block, and queries that are worked on at once.
 INDEX_ROWS, QUERY_ROWS = 16384, 256
 #: Slices kept of each attribute, from the most significant down. The rest only widens the boundary.
 KEPT_SLICES = 8
-#: Components beyond this are clamped, so that they fit a long.
-LIMIT = 1 << 40
+#: Components and sums below this are worked out in machine integers, others in Python's.
+_SMALL = 1 << 62
 
 
-def integer_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v array<long>) of the rows that take part, one row an id."""
+def sound_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(row, vec_id, v array<double>) of the rows that take part; row deals rows of one id over the blocks too."""
     sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    scaled = lambda x: F.floor(F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), F.lit(float(SCALE)) * x.cast("double")))).cast("long")
-    rows = df.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, scaled).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-def _matrix(column: pa.ChunkedArray, width: int = 0) -> np.ndarray:
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    lengths = np.diff(lists.offsets.to_numpy())
-    flat, most = lists.flatten().to_numpy(zero_copy_only=False), max(width, int(lengths.max(initial=0)))
-    out = np.zeros((len(lengths), most), np.int64)
-    out[np.arange(most) < lengths[:, None]] = flat
+    return df.filter(sound).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
+
+
+def _matrix(column: pa.Array, width: int = 0) -> np.ndarray:
+    """floor(SCALE * x) as integers, exactly: int64, or Python's where a component is too large for that."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat, most = column.flatten().to_numpy(zero_copy_only=False), max(width, int(lengths.max(initial=0)))
+    small = np.abs(flat).max(initial=0.0) * SCALE < _SMALL
+    whole = np.floor(flat * SCALE).astype(np.int64) if small else np.array([int(math.floor(x * SCALE)) if abs(x) < 2.0**53 else int(x) * SCALE for x in flat.tolist()], object)
+    out = np.zeros((len(lengths), most), whole.dtype)
+    out[np.arange(most) < lengths[:, None]] = whole
     return out
 
 
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products without wrapping."""
+    if rows.dtype == query.dtype == np.int64:
+        if len(rows) == 0 or int(np.abs(rows).max(initial=0)) * sum(abs(x) for x in query.tolist()) < _SMALL:
+            return rows @ query
+    found = rows.astype(object) @ query.astype(object)
+    return np.asarray(found, object)
+
+
 class BitSlicedIndex:
     """Attributes of a block of rows as bitmaps: slice i of attribute d has a bit for each row."""
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
         n, dims = rows.shape
-        self.low = rows.min(axis=0) if n else np.zeros(dims, np.int64)
-        shifted = rows - self.low
+        if n and rows.dtype == np.int64 and int(np.abs(rows).max(initial=0)) >= _SMALL >> 1:
+            rows = rows.astype(object)  # differences could wrap
+        shifted = rows - rows.min(axis=0) if n else rows
         self.bits = max(1, int(shifted.max(initial=0)).bit_length())
         self.dropped = max(0, self.bits - KEPT_SLICES)
         words = -(-n // 64)
@@ -112,7 +124,7 @@ class BitSlicedIndex:
             else:
                 sure, open_ = sure | high, open_ & ~total[p]
         # dropped slices add between zero and this many units to a row's sum
-        slack = -(-int(np.abs(weights).sum()) * ((1 << self.dropped) - 1) // (1 << self.dropped))
+        slack = -(-sum(abs(x) for x in weights.tolist()) * ((1 << self.dropped) - 1) // (1 << self.dropped))
         least = max(0, kth - slack)
         above, level = np.zeros_like(self.all), self.all.copy()
         for p in range(max(len(total), least.bit_length()) - 1, -1, -1):
@@ -124,49 +136,85 @@ class BitSlicedIndex:
         return np.flatnonzero(np.unpackbits((above | level).view(np.uint8), count=n, bitorder="little"))
 
 
-def _cell(k: int):
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[list] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            ids, qids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
-            queries = _matrix(right.column("v"))
-            rows = _matrix(left.column("v"), queries.shape[1])
-            queries = np.pad(queries, ((0, 0), (0, rows.shape[1] - queries.shape[1])))
-            index = BitSlicedIndex(rows)
-            for qid, query in zip(qids.tolist(), queries):
-                at = index.boundary(query, k + 1)
-                at = at[ids[at] != qid]
-                scores = rows[at] @ query
-                best = np.lexsort((ids[at], -scores))[:k]
-                found[0].append(np.full(len(best), qid))
-                found[1].append(ids[at][best])
-                found[2].append(scores[best])
-        whole = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found]
-        return pa.table({"query_id": whole[0], "vec_id": whole[1], "score": whole[2]})
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.int32()), ("wide", pa.binary())])
+_FOUND_ROWS = "query_id long, vec_id long, score long, beyond int, wide binary"
+
+
+def _wide(score: int) -> tuple[int | None, int, bytes | None]:
+    """(score, beyond, wide): a score that no long holds is null; beyond and wide order such scores."""
+    if -(1 << 63) <= score < 1 << 63:
+        return score, 0, None
+    return None, 1 if score > 0 else -1, (score + (1 << 4095)).to_bytes(512, "big")
+
+
+def _search(k: int):
+    """Blocks of rows, each followed by its queries: the index of a block is built once and queries stream by."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, index = None, [], None
+        for batch in batches:
+            cells, is_query = batch.column("cell").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (is_query[1:] != is_query[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    cell, held, index = cells[a], [], None
+                part = batch.slice(a, b - a)
+                if not is_query[a]:
+                    held.append(part)
+                    continue
+                if held:
+                    table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    rows, ids = _matrix(table.column("v")), table.column("vec_id").to_numpy()
+                    held, index = [], BitSlicedIndex(rows)
+                if index is None:  # a block without rows
+                    continue
+                for at in range(0, part.num_rows, QUERY_ROWS):
+                    yield answers(part.slice(at, QUERY_ROWS), index, ids)
+
+    def answers(asked: pa.RecordBatch, index: BitSlicedIndex, ids: np.ndarray) -> pa.RecordBatch:
+        queries, width = _matrix(asked.column("v")), index.rows.shape[1]
+        queries = np.pad(queries, ((0, 0), (0, max(0, width - queries.shape[1]))))[:, :width]  # beyond, rows count as zero
+        out: list[tuple] = []
+        for qid, query in zip(asked.column("vec_id").to_pylist(), queries):
+            at = index.boundary(query, k + int((ids == qid).sum()))
+            at = at[ids[at] != qid]
+            scores = exact_scores(index.rows[at], query).tolist()
+            for i in sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k]:
+                out.append((qid, int(ids[at[i]]), *_wide(scores[i])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND.types)] if out else [pa.array([], t) for t in _FOUND.types], schema=_FOUND)
 
     return search
 
 
+@tidy
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id.
 
-    is_query picks the queries among the columns of (vec_id, v); every other row is a candidate. Blocks of rows are
-    indexed by bit slices and meet blocks of queries; each cell adds slices by bitmap arithmetic, descends from the
-    most significant slice to the k-th sum, and scores the rows that the dropped slices leave open exactly.
+    is_query picks the queries among the columns of (vec_id, v); every row of another id is a candidate. Blocks of rows
+    are indexed by bit slices, once each, and all queries stream past; for each, slices are added by bitmap arithmetic,
+    the most significant ones are descended to the k-th sum, and the rows that the dropped slices leave open are scored
+    exactly. Only where there are fewer blocks than tasks, copies of a block share its queries out.
 
     Vectors that are null or hold null or non-finite components take no part, nor do null ids. Missing components
-    of shorter vectors count as zero. A repeated id counts once, with its least vector. Fewer than k candidates: all
-    of them. No queries or an empty table: no rows. Other columns aren't read.
+    of shorter vectors count as zero. Rows that repeat an id are candidates each; as queries they are ranked together.
+    Integers of any size are exact; a score that doesn't fit a
+    long is null, at its right rank. Fewer than k candidates: all of them. No queries or an empty table: no rows. Other
+    columns aren't read.
     """
-    vectors = materialize(integer_vectors(df, id_col, vector_col), "vectors")
+    spark = df.sparkSession
+    vectors = materialize(sound_vectors(df, id_col, vector_col), "vectors")
     queries = vectors.filter(is_query)
     blocks = -(-vectors.count() // INDEX_ROWS) or 1
-    query_blocks = -(-queries.count() // QUERY_ROWS) or 1
+    shares = max(1, min(-(-queries.count() // QUERY_ROWS), -(-2 * spark.sparkContext.defaultParallelism // blocks)))
+    cut = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = vectors.select("vec_id", "v", block(blocks).alias("block"), spread(query_blocks).alias("query_block"))
-    right = queries.select(F.col("vec_id").alias("query_id"), "v", block(query_blocks).alias("query_block"), spread(blocks).alias("block"))
-    cells = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block"))
-    best = cells.applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    cells = [
+        vectors.select("row", "vec_id", "v", F.lit(False).alias("is_query"), cut(blocks).alias("block"), spread(shares).alias("share")),
+        queries.select("row", "vec_id", "v", F.lit(True).alias("is_query"), spread(blocks).alias("block"), cut(shares).alias("share")),
+    ]
+    both = cells[0].unionByName(cells[1]).select("row", "vec_id", "v", "is_query", (F.col("block") * shares + F.col("share")).alias("cell"))
+    found = both.repartition(blocks * shares, "cell").sortWithinPartitions("cell", "is_query").mapInArrow(_search(k), _FOUND_ROWS)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), F.desc("wide"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

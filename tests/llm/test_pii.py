@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from kinfold.llm import pii
@@ -119,3 +121,54 @@ def test_documents_and_redaction(spark):
     assert (None, None, None) in out and (1, "[EMAIL]", 7) in out
     assert not any(pii.EMAIL.search(t or "") for _, t, _ in out)
     assert pii.find_pii(docs.limit(0)).collect() == []
+
+
+def enumerated(unary, ends, pair):
+    """Marginals by summing over all labellings."""
+    n, k = unary.shape
+    total = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        weight = np.exp(sum(unary[i, y] for i, y in enumerate(labels)) + sum(p[labels[a], labels[b]] for (a, b), p in zip(ends, pair)))
+        for i, y in enumerate(labels):
+            total[i, y] += weight
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 4, 6):  # trees: exact
+        ends = np.array([(rng.integers(i), i) for i in range(1, n)], np.int64).reshape(-1, 2)
+        unary, pair = rng.normal(0, 2, (n, 5)), rng.normal(0, 1.5, (len(ends), 5, 5))
+        assert np.abs(pii.sum_product(unary, ends, pair) - enumerated(unary, ends, pair)).max() < 1e-3
+
+
+@pytest.mark.parametrize("text", ["+1 838 555 7235, 838-555-7235, 838-555-7235", "838-555-7235 call 838-555-7235", "a@b.org 838-555-7235 +1 838 555 7235 212-444-0000"])
+def test_fields_of_texts_agree_with_enumeration(model, text):
+    nodes = pii.candidates(text, pii.base_spans(text))
+    unary, ends, pair = model.field(nodes)  # chain and entities make loops
+    got, want = pii.sum_product(unary, ends, pair), enumerated(np.maximum(unary, -50), ends, pair)
+    assert (got.argmax(axis=1) == want.argmax(axis=1)).all()
+    assert np.abs(got - want).max() < 0.1
+
+
+def test_weights_are_those_of_highest_likelihood():
+    """Numbers behind 'call' are phones in the sample, so the cue's weight grows; elsewhere it stays."""
+    rng = random.Random(1)
+    number = lambda: "".join(rng.choice("23456789") for _ in range(10))
+    model, plain = pii.SkipChain.fit([f"please call +1 {number()} soon, item {number()}" for _ in range(200)]), pii.SkipChain.fit([])
+    phone = pii.KINDS.index("phone") + 1
+    assert model.cue[phone, phone] - model.cue[phone, 0] > plain.cue[phone, phone] - plain.cue[phone, 0] + 0.5
+    assert np.abs(model.cue[1] - plain.cue[1]).max() < 1e-6
+    assert model.unnamed[0] > plain.unnamed[0]
+
+
+def test_texts_without_base_spans_are_in_the_field(model):
+    nodes = pii.candidates("call 838-555-7235 or joe.b [at] mail [dot] org", [])
+    assert [(c.shape, c.cue) for c in nodes] == [(2, 4), (1, 0)] or [(c.shape, c.cue) for c in nodes] == [(2, 4), (1, 4)]
+    believed = model.beliefs(nodes)
+    assert believed[0, 4] > model.beliefs(pii.candidates("item 838-555-7235", []))[0, 4]
+
+
+def test_redact_without_length_column(spark):
+    docs = spark.createDataFrame([(1, "a@b.c", 5)], "doc_id long, text string, `n.chars` long")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "[EMAIL]", 5)]
