@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Marks that end words; after letters they are a pre-token of their own.
 _MARKS = ".,;:!?%$&*#|)"
-#: Pieces, words and pairs a worker remembers before it starts afresh.
-REMEMBERED, REMEMBERED_PAIRS = 350_000, 1_000_000
+#: Pieces, words and pairs a worker remembers before it starts afresh; longer pieces and words aren't remembered, since
+#: what stands between two spaces may be pages long. So a worker holds some 200 MB of them at most.
+REMEMBERED, REMEMBERED_PAIRS, LONGEST = 350_000, 1_000_000, 64
 #: Input bytes after which a result batch is sent.
 BATCH_BYTES = 8 << 20
 
@@ -87,7 +88,9 @@ class PrefixTokenizer:
         if known is None:
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
-            known = self.words[word] = self._word(word)
+            known = self._word(word)
+            if len(word) <= LONGEST:
+                self.words[word] = known
         return known
 
     def _word(self, word: str) -> tuple[int, ...]:
@@ -168,6 +171,8 @@ class Pieces(dict):
         found = self.before.get(piece, self)
         if found is self:
             found = self.model.piece(piece)
+        if len(piece) > LONGEST:
+            return found
         if len(self) >= REMEMBERED:
             self.before = dict(self)
             self.clear()

@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.runtime import anti_join_ids, join_hot, materialize, membership_bitmap, split_by_bitmap
+from kinfold.runtime import anti_join_ids, join_hot, materialize, membership_bitmap, split_by_bitmap, tidy
 
-#: Fingerprints a merged filter holds on average; the number of filters follows the input.
-PER_FILTER = 1 << 16
-#: Quotient bits inside one filter.
-QUOTIENT_BITS = 12
+#: Fingerprints a merged filter holds on average, 16 MB; the number of filters follows the input, from so many bits on.
+PER_FILTER, LEAST_BITS = 1 << 21, 6
 
 
 def squeezed(text: Column) -> Column:
@@ -26,8 +24,9 @@ def squeezed(text: Column) -> Column:
 class CountingQuotientFilter:
     """Multiset of 64-bit fingerprints that share their first ``prefix_bits``.
 
-    The next ``QUOTIENT_BITS`` are the quotient, kept as one occupied bit a run plus run-end bits; the rest is the
-    remainder, kept whole and sorted inside its run, so nothing is lost. Only counts above one take a counter.
+    The next bits are the quotient, kept as one occupied bit a run plus run-end bits; the rest is the remainder, kept
+    whole and sorted inside its run, so nothing is lost. There are as many quotient bits as the number of fingerprints
+    has, so a filter's bytes are in proportion to them. Only counts above one take a counter.
     """
 
     def __init__(self, prefix: int, prefix_bits: int, values: np.ndarray, counts: np.ndarray):
@@ -45,14 +44,17 @@ class CountingQuotientFilter:
         first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
         return CountingQuotientFilter(self.prefix, self.prefix_bits, every[first], np.add.reduceat(counts, first) if len(first) else counts)
 
-    def _split(self) -> tuple[int, int]:
-        rest = 64 - self.prefix_bits - QUOTIENT_BITS
-        return rest, (rest + 7) // 8
+    @staticmethod
+    def _split(n: int, prefix_bits: int) -> tuple[int, int, int]:
+        """Bits of the quotient and of the remainder, and bytes of the remainder."""
+        quotient = min(max(3, n.bit_length()), 64 - prefix_bits)
+        rest = 64 - prefix_bits - quotient
+        return quotient, rest, (rest + 7) // 8
 
     def to_bytes(self) -> bytes:
-        rest, width = self._split()
-        quotient = (self.values >> np.uint64(rest)).astype(np.int64) & ((1 << QUOTIENT_BITS) - 1)
-        occupied = np.zeros(1 << QUOTIENT_BITS, bool)
+        bits, rest, width = self._split(len(self.values), self.prefix_bits)
+        quotient = (self.values >> np.uint64(rest)).astype(np.int64) & ((1 << bits) - 1)
+        occupied = np.zeros(1 << bits, bool)
         occupied[quotient] = True
         run_end = np.r_[quotient[1:] != quotient[:-1], True] if len(quotient) else np.zeros(0, bool)
         remainder = (self.values & np.uint64((1 << rest) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
@@ -63,13 +65,13 @@ class CountingQuotientFilter:
     @classmethod
     def from_bytes(cls, prefix: int, prefix_bits: int, blob: bytes) -> CountingQuotientFilter:
         self = cls(prefix, prefix_bits, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        rest, width = self._split()
         n, k = (int(x) for x in np.frombuffer(blob, "<i8", 2))
+        bits, rest, width = self._split(n, prefix_bits)
         at = 16
         raw = np.frombuffer(blob, np.uint8)
         take = lambda size: raw[at : at + size]
-        occupied = np.unpackbits(take((1 << QUOTIENT_BITS) // 8)).astype(bool)
-        at += (1 << QUOTIENT_BITS) // 8
+        occupied = np.unpackbits(take((1 << bits) // 8)).astype(bool)
+        at += (1 << bits) // 8
         run_end = np.unpackbits(take((n + 7) // 8), count=n).astype(np.int64)
         at += (n + 7) // 8
         remainder = np.zeros((n, 8), np.uint8)
@@ -88,7 +90,7 @@ class CountingQuotientFilter:
 
 def duplicate_fingerprints(keys: DataFrame, fp: str, rows: int) -> DataFrame:
     """(fp, n) of the fingerprints that occur more than once. keys: a written table; rows: its row count."""
-    bits = max(6, (max(rows, 1) // PER_FILTER).bit_length())
+    bits = max(LEAST_BITS, (max(rows, 1) // PER_FILTER).bit_length())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches if b.num_rows]
@@ -107,6 +109,7 @@ def duplicate_fingerprints(keys: DataFrame, fp: str, rows: int) -> DataFrame:
     return keys.select(fp).mapInArrow(build, "range int, filter binary").groupBy("range").applyInArrow(merge, "fp long, n long")
 
 
+@tidy
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -145,6 +148,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+@tidy
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops. Rows that repeat an id stay or go together; null ids stay."""
     verdict = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"))

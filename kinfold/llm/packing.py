@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heappop, heappush
 from operator import and_
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.exact_dedup import squeezed
+from kinfold.runtime import materialize, tidy
 
 #: Words a bin holds.
 CAPACITY = 2048
@@ -57,15 +59,16 @@ class Bins:
             node += 1
 
     def place(self, length: int, mask: int) -> tuple[int, int]:
-        """(bin, offset): the tightest bin that holds length and shares no bit with mask, else a new one."""
+        """(bin, offset): the tightest bin that holds length and shares no bit with mask, of equally tight ones the one
+        opened first, else a new one."""
         item = mask | 1  # no bin has bit 0, the mark of a leaf without bins
         node = self._next(length + self.size, item)
         while node:
             residual = node - self.size
             keys = self.at[residual]
-            bits = next((b for b in keys if not b & mask), None)
+            bits = min((b for b in keys if not b & mask), key=lambda b: keys[b][0], default=None)
             if bits is not None:
-                chosen = keys[bits].pop()
+                chosen = heappop(keys[bits])
                 if not keys[bits]:
                     del keys[bits]
                 self._refresh(residual)
@@ -77,7 +80,7 @@ class Bins:
             chosen, bits, residual = self.opened, 0, self.capacity
             self.opened += 1
         left = residual - length
-        self.at[left].setdefault(bits | mask, []).append(chosen)
+        heappush(self.at[left].setdefault(bits | mask, []), chosen)
         self._refresh(left)
         return chosen, self.capacity - residual
 
@@ -111,6 +114,7 @@ def pack_items(items: list[tuple], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
+@tidy
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, piece, bin_id, bin_offset, start_word, n_words): where each stretch of each document goes.
 
@@ -125,9 +129,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
         F.col(source_col).cast("string").alias("source"),
         F.xxhash64(squeezed(F.col(text_col))).alias("cluster"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    groups = max(1, -(-docs.count() // PER_GROUP))
-    slim = slim.withColumn("part", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
+    slim = materialize(slim, "lengths")
+    groups = max(1, -(-slim.count() // PER_GROUP))
+    # the row's place deals out rows of one id and text, however many there are
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("doc_id", "cluster", "row"), F.lit(groups)))
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["words", "doc_id", "source", "cluster"]).to_pylist(), key=lambda r: (-r["words"], r["doc_id"] is None, r["doc_id"] or 0, r["cluster"], r["source"] or ""))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, exact_dedup, language, packing, passages, pii, secrets, simhash, topk, urls
+from kinfold.runtime import tidy
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,20 +59,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_topk": op1_topk,
-    "op2_packing": op2_packing,
-    "op3_simhash": op3_simhash,
-    "op4_passages": op4_passages,
-    "op5_secrets": op5_secrets,
-    "op6_exact_dedup": op6_exact_dedup,
-    "op7_urls": op7_urls,
-    "op8_bpe": op8_bpe,
-    "op9_language": op9_language,
-    "op10_pii": op10_pii,
+    name: tidy(query)
+    for name, query in {
+        "op1_topk": op1_topk,
+        "op2_packing": op2_packing,
+        "op3_simhash": op3_simhash,
+        "op4_passages": op4_passages,
+        "op5_secrets": op5_secrets,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_urls": op7_urls,
+        "op8_bpe": op8_bpe,
+        "op9_language": op9_language,
+        "op10_pii": op10_pii,
+    }.items()
 }
 
 
-
 def _spans_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     p = "'" + pattern.replace("'", "''") + "'"
     return f"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.runtime import join_hot, materialize
+from kinfold.runtime import join_hot, materialize, membership_bitmap, split_by_bitmap, tidy
 
 
 @dataclass(frozen=True)
@@ -60,46 +60,79 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: dict[str, tuple[Rule, ...]] = RULES) -> DataFrame:
-    """Ledger rows (blob_id, rule_version, copies, spans) of the (blob, rule version) pairs that ledger lacks.
+_LEDGER = f"blob_id string, rule_version string, copies long, spans {_SPANS}"
 
-    versions has a ``text`` column, one row for each version of each path; texts are grouped before they are
-    scanned, so a blob that many paths share is scanned once. copies counts rows in this call. Null text counts
-    as empty.
+
+def unseen(paths: DataFrame, ledger: DataFrame | None, rules: dict[str, tuple[Rule, ...]]) -> DataFrame:
+    """(blob_id, copies, missing array<string>) of the blobs of paths that lack a rule version in ledger; ids only."""
+    blobs = paths.groupBy("blob_id").agg(F.count("*").alias("copies"))
+    every = F.array(*[F.lit(v) for v in rules])
+    if ledger is None:
+        return blobs.withColumn("missing", every)
+    seen = ledger.groupBy("blob_id").agg(F.collect_set("rule_version").alias("seen"))
+    known = F.coalesce("seen", F.array().cast("array<string>"))
+    return blobs.join(seen, "blob_id", "left").select("blob_id", "copies", F.array_except(every, known).alias("missing")).filter(F.size("missing") > 0)
+
+
+def scan(versions: DataFrame, todo: DataFrame, whole: bool, rules: dict[str, tuple[Rule, ...]] = RULES) -> DataFrame:
+    """Ledger rows (blob_id, rule_version, copies, spans) of the pairs in todo, a written table of unseen().
+
+    versions has blob_id and text, one row for each version of each path; whole says that todo holds all its blobs with
+    all rule versions. Rows of blobs that todo hasn't are cleared by a bitmap of fixed size before anything is
+    shuffled. A blob that one row has is scanned where it stands; only texts of several rows meet, so each is scanned
+    once. Combined before the shuffle, a hot text moves once a task.
     """
-    blobs = versions.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("copies"))
-    blobs = blobs.select(F.sha2("text", 256).alias("blob_id"), "copies", "text")
-    if ledger is not None:
-        seen = ledger.groupBy("blob_id").agg(F.collect_set("rule_version").alias("seen"))
-        blobs = blobs.join(seen, "blob_id", "left")
+    several = todo.filter("copies > 1")
+    if not whole:
+        versions = split_by_bitmap(versions, membership_bitmap(todo, "blob_id"), F.col("blob_id")).filter("kf_maybe_").drop("kf_maybe_")
+    marked = split_by_bitmap(versions, membership_bitmap(several, "blob_id"), F.col("blob_id"))
+    alone = marked.filter("NOT kf_maybe_").select("blob_id", "text")
+    met = marked.filter("kf_maybe_").groupBy("blob_id", "text").agg(F.count("*").alias("copies"))
+    if whole:
+        blobs = alone.withColumn("copies", F.lit(1).cast("long")).unionByName(met).withColumn("missing", F.array(*[F.lit(v) for v in rules]))
     else:
-        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
-    blobs = blobs.withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    unseen = lambda v: ~F.array_contains("seen", v)
-    rows = [F.when(unseen(v), F.struct(F.lit(v).alias("rule_version"), F.concat(*[rule_spans(F.col("text"), r) for r in group]).alias("spans"))) for v, group in rules.items()]
+        blobs = alone.unionByName(met.drop("copies")).join(todo, "blob_id")
+    rows = [F.when(F.array_contains("missing", v), F.struct(F.lit(v).alias("rule_version"), F.concat(*[rule_spans(F.col("text"), r) for r in group]).alias("spans"))) for v, group in rules.items()]
     return blobs.select("blob_id", "copies", F.explode(F.array_compact(F.array(*rows))).alias("row")).select("blob_id", "row.rule_version", "copies", "row.spans")
 
 
-def findings(versions: DataFrame, ledger: DataFrame, rules: dict[str, tuple[Rule, ...]] = RULES) -> DataFrame:
-    """Every row of versions (id, blob_id: a written table) with its blob's spans under the given rules, in order."""
+def findings(paths: DataFrame, ledger: DataFrame, rules: dict[str, tuple[Rule, ...]] = RULES) -> DataFrame:
+    """Every row of paths (id, blob_id: a written table) with its blob's spans under the given rules, in order."""
     known = ledger.filter(F.col("rule_version").isin(*rules)).filter(F.size("spans") > 0)
-    by_blob = known.groupBy("blob_id").agg(F.max("copies").alias("n"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    total = versions.count()
-    out = join_hot(versions, materialize(by_blob, "findings"), "blob_id", "left", total=total)
+    by_blob = known.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    sizes = paths.join(by_blob.select("blob_id"), "blob_id").groupBy("blob_id").agg(F.count("*").alias("n"))
+    out = join_hot(paths, materialize(by_blob.join(sizes, "blob_id"), "findings"), "blob_id", "left", total=paths.count())
     return out.withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS))).drop("n")
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept at path, empty if nothing was written there yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+    return spark.read.schema(_LEDGER).parquet(path) if there else spark.createDataFrame([], _LEDGER)
+
+
+def append_ledger(fresh: DataFrame, path: str) -> None:
+    """Keep new ledger rows; what is there already is neither read nor written again."""
+    fresh.write.mode("append").parquet(path)
+
+
+@tidy
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: dict[str, tuple[Rule, ...]] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows) for every row of docs; a row is one historical version of a path.
 
-    Findings: doc_id, blob_id, spans (array of start, order, end, kind, by start and kind). Repeated rows and rows of
-    one text each get the findings of their blob; null text has none; a null id is kept. Other columns aren't read.
+    Texts are content-addressed where they stand. The pairs of blob and rule version that ledger lacks are found on ids
+    alone, and only their texts are scanned. Findings: doc_id, blob_id, spans (array of start, order, end, kind, by
+    start and kind). Repeated rows and rows of one text each get the findings of their blob; null text counts as empty
+    and has none; a null id is kept. Other columns aren't read.
     """
-    versions = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fresh = materialize(scan(versions, ledger), "ledger")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    versions = docs.select(F.sha2(text, 256).alias("blob_id"), text.alias("text"))
+    paths = materialize(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("blob_id")), "paths")
+    todo = materialize(unseen(paths, ledger, rules), "todo")
+    fresh = materialize(scan(versions, todo, ledger is None, rules), "ledger")
     whole = fresh if ledger is None else ledger.select(*fresh.columns).unionByName(fresh)
-    paths = materialize(versions.select("doc_id", F.sha2("text", 256).alias("blob_id")), "paths")
-    return findings(paths, whole), fresh
+    return findings(paths, whole, rules), fresh
 
 
 def digest(found: DataFrame) -> DataFrame:

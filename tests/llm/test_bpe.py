@@ -52,3 +52,15 @@ def test_documents(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_documents(docs, PATH).collect() == []
+
+
+def test_long_pieces_are_not_remembered():
+    with open(PATH, "rb") as file:
+        model = bpe.PrefixTokenizer(file.read())
+    reference = Tokenizer.from_file(PATH)
+    rng = random.Random(3)
+    text = "start " + " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(500)) + "。" + "x1" * 200 for _ in range(30))
+    packed, raw = model.encode(text)
+    assert [int.from_bytes(packed[i : i + 4], sys.byteorder) for i in range(0, len(packed), 4)] == reference.encode(text, add_special_tokens=False).ids
+    assert raw.decode() == text
+    assert max(map(len, [*model.pieces, *model.words])) <= bpe.LONGEST

@@ -51,3 +51,16 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in found) == [("1", "1", 3), ("1", "1", 3), ("None", "1", 3), ("None", "None", 1)]
     assert sum(r.kept for r in found) == 2
     assert exact_dedup.exact_dedup(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_filter_bytes_are_in_proportion():
+    rng = np.random.default_rng(3)
+    for n in (1, 6, 100, 5000):
+        one = Filter.build(0, 6, rng.integers(0, 2**57, n, dtype=np.uint64))
+        assert len(one.to_bytes()) <= 24 + 9.5 * n
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "ab " * 300_000), (2, "a b" * 300_000), (3, "ab " * 299_999)]
+    found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in found} == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
