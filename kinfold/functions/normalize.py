@@ -166,17 +166,18 @@ class SkillDictionary:
     def normalize(self, c: Column) -> Column:
         """array<struct<name, confidence, raw>>: each canonical name once with its best confidence, by name; null if none.
 
-        Aliases count 1.0, near names their score, others stay as they are at 0.5. Only names without an alias
-        leave the JVM, and a worker scores each of them once.
+        Aliases count 1.0, near names their score, others stay as they are at 0.5; of equal ones the first counts. Only
+        names without an alias leave the JVM, and a worker scores each of them once.
         """
         clean = F.filter(F.transform(c, strip), lambda x: x.isNotNull() & (x != ""))
-        other = F.filter(clean, lambda x: self.exact(x).isNull())
-        scored = F.when(F.size(other) > 0, self.fuzzy()(other)).otherwise(F.array().cast("array<struct<name:string,confidence:double>>"))
-        entry = lambda name, conf, raw: F.struct(name.alias("name"), conf.alias("confidence"), raw.alias("raw"))
-        known = F.transform(F.filter(clean, lambda x: self.exact(x).isNotNull()), lambda x: entry(self.exact(x), F.lit(1.0), x))
-        rest = F.zip_with(other, scored, lambda x, s: entry(F.coalesce(s["name"], x), F.coalesce(s["confidence"], F.lit(V.UNKNOWN_SKILL)), x))
-        ranked = F.array_sort(F.transform(F.concat(known, rest), lambda e: F.struct(e["name"].alias("name"), (-e["confidence"]).alias("less"), e["raw"].alias("raw"))))
+        looked = F.transform(clean, lambda x, i: F.struct(x.alias("raw"), i.alias("i"), self.exact(x).alias("name")))
+        other = F.filter(looked, lambda e: e["name"].isNull())
+        none = F.array().cast("array<struct<name:string,confidence:double>>")
+        scored = F.when(F.size(other) > 0, self.fuzzy()(F.transform(other, lambda e: e["raw"]))).otherwise(none)
+        entry = lambda name, less, i, raw: F.struct(name.alias("name"), less.alias("less"), i.alias("i"), raw.alias("raw"))
+        known = F.transform(F.filter(looked, lambda e: e["name"].isNotNull()), lambda e: entry(e["name"], F.lit(-1.0), e["i"], e["raw"]))
+        rest = F.zip_with(other, scored, lambda e, s: entry(F.coalesce(s["name"], e["raw"]), -F.coalesce(s["confidence"], F.lit(V.UNKNOWN_SKILL)), e["i"], e["raw"]))
         same = lambda done, e: F.coalesce(F.try_element_at(done, F.lit(-1))["name"] == e["name"], F.lit(False))
-        none = F.array().cast("array<struct<name:string,less:double,raw:string>>")
-        first = F.aggregate(ranked, none, lambda done, e: F.when(same(done, e), done).otherwise(F.concat(done, F.array(e))))
-        return F.when(F.size(first) > 0, F.transform(first, lambda e: entry(e["name"], -e["less"], e["raw"])))
+        none = F.array().cast("array<struct<name:string,less:double,i:int,raw:string>>")
+        first = F.aggregate(F.array_sort(F.concat(known, rest)), none, lambda done, e: F.when(same(done, e), done).otherwise(F.array_append(done, e)))
+        return F.when(F.size(first) > 0, F.transform(first, lambda e: F.struct(e["name"].alias("name"), (-e["less"]).alias("confidence"), e["raw"].alias("raw"))))

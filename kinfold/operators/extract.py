@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,16 +74,23 @@ def as_fragments(df: DataFrame, source: str, ord_col: str, facts: dict[str, Colu
     return rows.filter(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in V.RAW_FIELDS]))
 
 
-def number_fragments(frames: list[DataFrame]) -> DataFrame:
+def number_fragments(frames: list[DataFrame], on_failure: Callable[[int, Exception], None] | None = None) -> DataFrame | None:
     """Union of sources in their order, with fid: the source's rank in the high bits, then the place in its order.
 
-    Places come from a range sort and the row counts of the partitions before, so no task sees all rows.
+    Places come from a range sort and the row counts of the partitions before, so no task sees all rows. A source that
+    fails while it is read is told to on_failure and left out; None if no source is left.
     """
     from kinfold.runtime import materialize
 
     out = []
     for rank, frame in enumerate(frames):
-        ordered = materialize(frame.orderBy("ord").withColumn("mono", F.monotonically_increasing_id()), "ordered")
+        try:
+            ordered = materialize(frame.orderBy("ord").withColumn("mono", F.monotonically_increasing_id()), "ordered")
+        except Exception as error:
+            if on_failure is None:
+                raise
+            on_failure(rank, error)
+            continue
         part = F.shiftright("mono", 33)
         sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
         before = {r.part: r.n for r in sizes.collect()}  # one number a partition
@@ -92,6 +100,8 @@ def number_fragments(frames: list[DataFrame]) -> DataFrame:
         offset = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), part) if starts else F.lit(0)
         fid = F.lit(rank << 40) + offset + F.col("mono").bitwiseAND(F.lit((1 << 33) - 1))
         out.append(ordered.withColumn("fid", fid.cast("long")).drop("ord", "mono"))
+    if not out:
+        return None
     whole = reduce(DataFrame.unionByName, out)
     return whole.select("fid", *[c for c in whole.columns if c != "fid"])
 

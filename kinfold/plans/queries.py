@@ -131,8 +131,7 @@ MEMBERS_SQL = f"{PEOPLE_SQL}, m AS (SELECT *, grp AS cluster, trust * conf AS sc
 
 # --- extraction -----------------------------------------------------------------------------------------------------
 
-_EMAIL_SQL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
-_PHONES_SQL = (r"\+?\d{1,3}[\s\-.]?\(?\d{2,4}\)?[\s\-.]?\d{3,4}[\s\-.]?\d{3,4}", r"\b\d{10}\b", r"\b\d{3}[\-.\s]\d{3}[\-.\s]\d{4}\b")
+_EMAIL_SQL, *_PHONES_SQL = (p.removeprefix("(?U)") for p in (extract.NOTE_EMAIL, *extract.NOTE_PHONES))
 
 
 @query(f"""
@@ -352,12 +351,6 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.fuzzy_pairs(rows, rows.select("fid")).select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
-def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks, fuzzy names of the unmatched and components together."""
-    return resolve.resolve(materialize(named_apart(spark, sf_dir), "fragments"))
-
-
 # --- survivorship ---------------------------------------------------------------------------------------------------
 
 _TITLES = "SELECT cluster, fid, source, method, trust, score, 'Title ' || CAST(t AS VARCHAR) AS value FROM m"
@@ -510,10 +503,3 @@ def link_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = materialize(rows.join(found, "fid", "left").withColumn("cluster", F.coalesce("component", "fid")).drop("component"), "members")
     sizes = group.groupBy("cluster").agg(F.count("*").alias("n_fragments"))
     return survivorship.merge(group, with_provenance=False).join(sizes, "cluster").select("candidate_id", "emails", "n_fragments")
-
-
-@query()
-def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolved, merged and projected people with their audit trail."""
-    records = linkage.link(named_apart(spark, sf_dir).select(*V.FRAGMENT_KEYS, *V.FIELDS))
-    return records.select("candidate_id", "full_name", "emails", "phones", F.size("skills").alias("n_skills"), F.size("provenance").alias("n_claims"), F.round("overall_confidence", 6).alias("overall_confidence"))

@@ -83,7 +83,10 @@ def read_ats(spark: SparkSession, path: str) -> DataFrame:
 
     A file holds an array, an object with one of the known list keys, or one record with a telltale key.
     """
-    whole = read_whole(spark, path).select("path", F.try_parse_json("text").alias("v"))
+    # the parser stops behind a whole value; what follows it spoils either the list or the object around the text
+    alone = [F.try_parse_json(F.concat(F.lit(a), "text", F.lit(b))) for a, b in (("[", "\n]"), ('{"v":', "\n}"))]
+    only = alone[1].isNotNull() & (F.size(F.try_variant_get(alone[0], "$", "array<variant>")) == 1)
+    whole = read_whole(spark, path).select("path", F.when(only, F.try_parse_json("text")).alias("v"))
     as_list = lambda p: F.try_variant_get("v", p, "array<variant>")
     kind = F.schema_of_variant("v")
     has = lambda k: F.try_variant_get("v", f"$.{k}", "variant").isNotNull()

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from kinfold.plans import queries
+from kinfold.plans import more_queries, queries  # noqa: F401
 from oracle import compare
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
