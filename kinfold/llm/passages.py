@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.exact_dedup import squeezed
 from kinfold.llm.simhash import LOWER
 from kinfold.operators.components import component_ids
-from kinfold.runtime import anti_join_ids, join_hot, materialize, membership_bitmap, split_by_bitmap
+from kinfold.runtime import anti_join_ids, discard, join_hot, materialize, membership_bitmap, split_by_bitmap, tidy
 
 #: Words of a shingle, least words of a passage, least similarity.
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
@@ -194,13 +194,10 @@ def _windowed(flags: np.ndarray) -> np.ndarray:
     return total[WIDTH:] - total[:-WIDTH]
 
 
-#: Kinds of rows of the passes over the texts: windows of a few, shingles near windows of many; stretches of LEAST_WORDS
-#: words that others may have too, and parts of them that an edit may leave.
-FEW, NEAR, BLOCK, PART = 0, 1, 2, 3
+#: Kinds of rows of the second pass over the texts: windows of a few, shingles near windows of many.
+FEW, NEAR = 0, 1
 _WINDOW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("after", pa.binary()), ("before", pa.binary())] + [(c, pa.int64()) for c in ("next_min", "next_max", "last_min", "last_max")])
-_STRETCH = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("block", pa.int64())])
 _WINDOW_ROWS = "kind int, key long, node long, at int, after binary, before binary, next_min long, next_max long, last_min long, last_max long"
-_STRETCH_ROWS = "kind int, key long, node long, at int, block long"
 
 
 def _filter(keys: DataFrame, n: int) -> np.ndarray:
@@ -219,11 +216,12 @@ def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+def _text_batches(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, shingles) of the texts long enough for a passage, or of every text."""
     for batch in batches:
         for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"")
-            if len(found):
+            if every or len(found):
                 yield node, found
 
 
@@ -342,57 +340,56 @@ def _parts(masked: np.ndarray, there: np.ndarray, forks: np.ndarray, joins: np.n
         yield mixed((sums[at + LEAST_SHARED] - sums[at]) * down[at]), at, keys[which]
 
 
-def _blocks(frequent, shared, forking, joining):
-    """Stretches of WIDTH shingles near windows of many, if all but a few of their shingles stand near others too.
+def _stretches(found: np.ndarray, often: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(which shingles others may have, shingles without the others, starts, keys) of the stretches of WIDTH shingles
+    near windows of many, if all but a few of their shingles stand near others too.
 
-    The others are left out of a stretch's hash, so copies with an edit of their own at one place have one key. The
-    parts of a key are sent the first time that a task meets it.
+    A key leaves the other shingles out, so copies with an edit of their own at one place have one key.
     """
+    values = min_hash(found)
+    centers = np.flatnonzero(minima(values))
+    centers = centers[_inside(often, values[centers])]
+    if not len(centers):
+        return None
+    there = _area(len(found), centers)
+    there[there] = _inside(common, found[there])
+    starts = np.flatnonzero(_windowed(there) >= LEAST_SHARED)
+    if not len(starts):
+        return None
+    masked = np.where(there, found, np.uint64(0))
+    return there, masked, starts, stretch_hashes(masked, starts, starts + WIDTH)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, common, fork, join = frequent.value, shared.value, forking.value, joining.value
-        rows: list[tuple] = []
-        done: set[int] = set()
-        held = 0
 
-        def sent() -> pa.RecordBatch:
-            sizes = [len(r[2]) for r in rows]
-            kinds, nodes = (np.repeat(np.array([r[i] for r in rows], t), sizes) for i, t in ((0, np.int32), (1, np.int64)))
-            keys, at, block = (np.concatenate([r[i] for r in rows]) for i in (2, 3, 4))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds, keys.view(np.int64), nodes, at.astype(np.int32), block.view(np.int64))], schema=_STRETCH)
+def _blocks(frequent, shared):
+    """Keys of the stretches that others may have too."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, found in _text_batches(batches):
-            values = min_hash(found)
-            centers = np.flatnonzero(minima(values))
-            centers = centers[_inside(often, values[centers])]
-            if not len(centers):
-                continue
-            there = _area(len(found), centers)
-            there[there] = _inside(common, found[there])
-            starts = np.flatnonzero(_windowed(there) >= LEAST_SHARED)
-            if not len(starts):
-                continue
-            masked = np.where(there, found, np.uint64(0))
-            keys = stretch_hashes(masked, starts, starts + WIDTH)
-            rows.append((BLOCK, node, keys, starts, keys))
-            held += len(keys)
-            fresh = np.zeros(len(keys), bool)
-            fresh[np.unique(keys, return_index=True)[1]] = True
-            fresh &= np.array([k not in done for k in keys.tolist()], bool)
-            if fresh.any():
-                done.update(keys[fresh].tolist())
+            if (seen := _stretches(found, frequent.value, shared.value)) is not None:
+                _, _, starts, keys = seen
+                columns = [keys.view(np.int64), np.full(len(keys), node), starts.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "at"])
+
+    return find
+
+
+def _edits(frequent, shared, forking, joining):
+    """Parts of the stretches of (node, text, keys) whose keys are given."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (node, found), wanted in zip(_text_batches(iter([batch]), every=True), batch.column(2)):
+                seen = _stretches(found, frequent.value, shared.value)
+                if seen is None:
+                    continue
+                there, masked, starts, keys = seen
+                first = np.unique(keys, return_index=True)[1]
+                first = np.sort(first[np.isin(keys[first].view(np.int64), wanted.values.to_numpy())])
                 forks, joins = there.copy(), there.copy()
-                forks[there], joins[there] = _inside(fork, found[there]), _inside(join, found[there])
-                for part, place, key in _parts(masked, there, forks, joins, starts[fresh], keys[fresh]):
-                    rows.append((PART, node, part, place, key))
-                    held += len(part)
-            if len(done) > 1_000_000:
-                done.clear()
-            if held > 100_000:
-                yield sent()
-                held = rows.clear() or 0
-        if rows:
-            yield sent()
+                forks[there], joins[there] = _inside(forking.value, found[there]), _inside(joining.value, found[there])
+                for part, place, key in _parts(masked, there, forks, joins, starts[first], keys[first]):
+                    columns = [part.view(np.int64), key.view(np.int64), np.full(len(part), node), place.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "key", "node", "at"])
 
     return find
 
@@ -451,13 +448,19 @@ def passage_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = [f(c).alias(c) for c, f in (("next_min", F.min), ("next_max", F.max), ("last_min", F.min), ("last_max", F.max))]
     near = materialize(found.filter(F.col("kind") == NEAR).groupBy("key").agg(F.sum("node").alias("n"), *ends).filter("n > 1"), "near")
     filters = [sent(near), sent(near.filter("next_min <> next_max")), sent(near.filter("last_min <> last_max"))]
-    found = materialize(slim.mapInArrow(_blocks(frequent, *filters), _STRETCH_ROWS), "blocks")
-    blocks = found.filter(F.col("kind") == BLOCK).select("key", "node", "at")
-    parts = found.filter(F.col("kind") == PART).select(F.col("key").alias("part"), "node", "at", F.col("block").alias("key"))
-    groups = parts.groupBy("part").agg(F.min("node").alias("least"), F.min(F.struct("node", "at")).alias("first"), F.max(F.struct("node", "at")).alias("last"), F.count("*").alias("n"))
+    for table in (found, near, counts):
+        discard(table)
+    blocks = materialize(slim.mapInArrow(_blocks(frequent, filters[0]), "key long, node long, at int"), "blocks")
+    sizes = materialize(blocks.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")), "sizes")
+    # each content gives its parts once, at its least node; only the texts of such nodes are shuffled
+    givers = materialize(sizes.groupBy(F.col("least").alias("node")).agg(F.collect_list("key").alias("keys")), "givers")
+    texts = split_by_bitmap(slim, membership_bitmap(givers, "node"), F.col("node")).filter("kf_maybe_").select("node", "text").join(givers, "node")
+    parts = materialize(texts.select("node", "text", "keys").mapInArrow(_edits(frequent, *filters), "part long, key long, node long, at int"), "parts")
+    place = F.xxhash64("node", "at")
+    groups = parts.groupBy("part").agg(F.min("node").alias("least"), F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
     groups = materialize(groups.filter("first <> last").select("part", "least", "n"), "groups")
     alike = materialize(join_hot(parts, groups, "part", "inner").select("key", "node", "least").distinct(), "alike")
-    sizes = blocks.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    discard(parts)
     known = materialize(sizes.join(alike.select("key", F.lit(True).alias("alike")).distinct(), "key", "left").filter("n > 1 OR alike").drop("alike"), "same")
     hits = materialize(join_hot(blocks, known, "key", "inner").select("node", "least", "at"), "hits")
 
@@ -482,6 +485,7 @@ def _merged(spans):
     return F.aggregate(F.array_sort(spans), none, step)
 
 
+@tidy
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_spans, n_words_repeated, spans) of the rows with a passage that stands elsewhere too.
 
