@@ -34,7 +34,8 @@ def email_list(c: Column) -> Column:
 def phone(c: Column, region: Column, plans: dict = V.PHONE_PLANS) -> Column:
     """E.164 of a number valid in its plan, else null; region (alpha-2) places numbers without a calling code.
 
-    Plans cover the regions of kinfold.vocabulary; a number of any other region is null, never a guess.
+    Plans cover the regions of kinfold.vocabulary. Of other regions, a number with a calling code of the public list is
+    valid if its length is; without one it is null, never a guess.
     """
     text = strip(c)
     digits = F.regexp_replace(text, "[^0-9]", "")
@@ -49,6 +50,9 @@ def phone(c: Column, region: Column, plans: dict = V.PHONE_PLANS) -> Column:
         here = F.when(digits.rlike(local), F.concat(F.lit("+" + calling), F.regexp_extract(digits, local, 1)))
         here = F.coalesce(here, F.when(digits.rlike(full), F.concat(F.lit("+" + calling), F.regexp_extract(digits, full, 1))))
         home = F.when(region == code, here).otherwise(home)
+    planned = "|".join(sorted({calling for calling, _, _ in plans.values()}))
+    other = rf"^(?!{planned})({V.CALLING_CODES})\d{{{V.LEAST_NATIONAL},}}\z"
+    abroad = F.coalesce(abroad, F.when(body.rlike(other) & (F.char_length(body) <= V.MOST_DIGITS), F.concat(F.lit("+"), body)))
     return F.when(sane, F.when(text.startswith("+") | digits.startswith("00"), abroad).otherwise(home))
 
 
@@ -73,14 +77,32 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x03")), key)
 
 
+def _plain(c: Column) -> Column:
+    """Lower case without accents."""
+    marks = {"àáâãäå": "a", "ç": "c", "èéêë": "e", "ìíîï": "i", "ñ": "n", "òóôõöø": "o", "ùúûü": "u", "ýÿ": "y"}
+    pairs = [(x, y) for group, y in marks.items() for x in group]
+    return F.translate(F.lower(c), "".join(x for x, _ in pairs), "".join(y for _, y in pairs))
+
+
+def _country_like(text: Column) -> Column:
+    """Code of the country whose name holds the text earliest, of equal ones the first code; null if none does."""
+    names = F.split(F.lit("\x02".join(f"{a}{n}" for a, _, n in iso_countries())), "\x02")
+    places = F.transform(names, lambda n: F.struct(F.greatest(F.instr(_plain(F.substring(n, 3, 200)), text) - 1, F.lit(-1)).alias("at"), F.substring(n, 1, 2).alias("code")))
+    # from the 13th place on all count alike
+    ranked = F.transform(F.filter(places, lambda x: x["at"] >= 0), lambda x: F.struct(F.least(x["at"], F.lit(13)).alias("at"), x["code"].alias("code")))
+    return F.array_min(ranked)["code"]
+
+
 def country(c: Column) -> Column:
-    """struct(code, confidence): alpha-2 and alpha-3 codes 1.0, informal and official names .95, else null."""
+    """struct(code, confidence): alpha-2 and alpha-3 codes 1.0, informal and official names .95, parts of a name (four
+    letters or more) .85, else null. Names of a country's parts (states, provinces) aren't known."""
     iso, clean = iso_countries(), strip(c)
     upper, lower = F.upper(clean), F.lower(clean)
     by_code = F.when(F.char_length(clean) == 2, F.when(upper.isin([a for a, _, _ in iso]), upper)).when(F.char_length(clean) == 3, _lookup({b: a for a, b, _ in iso}, upper))
     by_name = F.coalesce(_lookup(V.COUNTRY_ALIASES, lower), _lookup({n: a for a, _, n in iso} | {a.lower(): a for a, _, _ in iso} | {b.lower(): a for a, b, _ in iso}, lower))
-    code = F.coalesce(by_code, by_name)
-    return F.when(code.isNotNull(), F.struct(code.alias("code"), F.when(by_code.isNotNull(), 1.0).otherwise(0.95).alias("confidence")))
+    said = lambda code, confidence: F.struct(code.alias("code"), F.lit(confidence).alias("confidence"))
+    like = F.when(by_code.isNull() & by_name.isNull() & (F.char_length(clean) > 3), _country_like(_plain(clean)))
+    return F.when(by_code.isNotNull(), said(by_code, 1.0)).when(by_name.isNotNull(), said(by_name, 0.95)).when(like.isNotNull(), said(like, 0.85))
 
 
 @F.pandas_udf(StructType([StructField("date", StringType()), StructField("confidence", DoubleType())]))

@@ -17,14 +17,15 @@ def filled(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def first_group(c: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
+def first_group(c: Column, pattern: str, needs: tuple[str, ...] = (), low: Column | None = None) -> Column:
     """The first group of the first match, null if there is none or it is empty.
 
-    needs: texts of which every match holds one. A text without them isn't searched, which matters for patterns
-    that begin with a class and try long stretches from every place.
+    needs: texts in lower case of which every match holds one in some case. A text without them isn't searched, which
+    matters for patterns that try many places or long stretches from each. low: the text in lower case, if it is at hand.
     """
-    found = F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
-    return F.when(reduce(lambda a, b: a | b, [c.contains(x) for x in needs]), found) if needs else found
+    found = F.get(F.filter(F.array(F.regexp_extract(c, pattern, 1)), lambda x: x != ""), 0)
+    low = F.lower(c) if low is None else low
+    return F.when(reduce(lambda a, b: a | b, [low.contains(x) for x in needs]), found) if needs else found
 
 
 def split_list(c: Column, separators: str = ",") -> Column:

@@ -46,8 +46,14 @@ NOTE_SKILLS = (
     r"(?imUd)^([A-Z][\w\s,]+?)(?:…|\.\.\.)",
 )
 
-#: Texts of which each match of a slow pattern holds one.
-_NEEDS = {NOTE_TITLES[2]: ("profile", "guy"), NOTE_SKILLS[1]: ("…", "...")}
+#: Texts of which each match of a pattern holds one, in some case.
+_NEEDS = {
+    NOTE_NAMES[0]: ("name", "candidate", "applicant"), NOTE_NAMES[1]: ("spoke", "met", "interviewed", "regarding", "about"), NOTE_NAMES[2]: ("chat", "intro", "met"), NOTE_NAMES[3]: ("reached", "seems"),
+    NOTE_COMPANIES[0]: ("company", "employe", "work", "current", "been", "somewhere"), NOTE_COMPANIES[1]: ("currently", "background"), NOTE_COMPANIES[2]: tuple(NOTE_EMPLOYERS.lower().split("|")),
+    NOTE_TITLES[0]: ("title", "role", "position", "designation"), NOTE_TITLES[1]: ("work", "currently", "doing"), NOTE_TITLES[2]: ("profile", "guy"),
+    NOTE_LOCATIONS[0]: ("location", "based", "located", "city"), NOTE_LOCATIONS[1]: ("based", "location"), NOTE_LOCATIONS[2]: ("bangalore", "bengaluru", "mumbai", "delhi", "hyderabad", "chennai", "pune", "gurgaon", "noida"),
+    NOTE_SKILLS[0]: ("skill", "technologies", "stack", "proficient", "experience", "know", "mention", "about", "strong", "comfortable"), NOTE_SKILLS[1]: ("…", "..."),
+}
 
 
 def _fact(name: str, value: Column, confidence: float, present: Column | None = None) -> Column:
@@ -223,44 +229,46 @@ def extract_ats(rows: DataFrame, strict_parity: bool = True) -> DataFrame:
     return as_fragments(rows, "ats_json", "ord", facts)
 
 
-def _first_valid(text: Column, patterns: tuple[str, ...], valid) -> Column:
+def _first_valid(text: Column, patterns: tuple[str, ...], valid, low: Column | None) -> Column:
     """The first match of each pattern in turn, until one passes."""
-    found = [strip(first_group(text, p, _NEEDS.get(p, ()))) for p in patterns]
+    found = [strip(first_group(text, p, _NEEDS[p], low)) for p in patterns]
     return F.get(F.filter(F.array(*found), lambda x: x.isNotNull() & valid(x)), 0)
 
 
 def note_emails(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(NOTE_EMAIL), F.lit(0)))
+    found = F.regexp_extract_all(text, F.lit(NOTE_EMAIL), F.lit(0))
+    return F.when(text.contains("@"), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def note_phones(text: Column) -> Column:
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in NOTE_PHONES]))
-    return F.array_distinct(F.filter(F.transform(found, strip), lambda x: x != ""))
+    some = F.array_distinct(F.filter(F.transform(found, strip), lambda x: x != ""))
+    return F.when(text.rlike(r"(?U)\d{3}"), some).otherwise(F.array().cast("array<string>"))
 
 
-def note_name(text: Column) -> Column:
+def note_name(text: Column, low: Column | None = None) -> Column:
     first_line = lambda x: strip(F.substring_index(x, "\n", 1))
     valid = lambda x: F.size(words(first_line(x))).between(1, 4) & F.forall(words(first_line(x)), lambda w: w.rlike(r"^\p{L}+\z"))
-    return first_line(_first_valid(text, NOTE_NAMES, valid))
+    return first_line(_first_valid(text, NOTE_NAMES, valid, low))
 
 
-def note_company(text: Column) -> Column:
-    return _first_valid(text, NOTE_COMPANIES, lambda x: F.size(words(x)).between(1, 6) & (F.char_length(x) <= 50))
+def note_company(text: Column, low: Column | None = None) -> Column:
+    return _first_valid(text, NOTE_COMPANIES, lambda x: F.size(words(x)).between(1, 6) & (F.char_length(x) <= 50), low)
 
 
-def note_title(text: Column) -> Column:
-    return _first_valid(text, NOTE_TITLES, lambda x: F.size(words(x)).between(1, 8) & (F.char_length(x) <= 60))
+def note_title(text: Column, low: Column | None = None) -> Column:
+    return _first_valid(text, NOTE_TITLES, lambda x: F.size(words(x)).between(1, 8) & (F.char_length(x) <= 60), low)
 
 
-def note_skills(text: Column) -> Column:
-    found = [F.coalesce(F.split(first_group(text, p, _NEEDS.get(p, ())), r"(?U)[,;|]|\band\b", -1), F.array().cast("array<string>")) for p in NOTE_SKILLS]
+def note_skills(text: Column, low: Column | None = None) -> Column:
+    found = [F.coalesce(F.split(first_group(text, p, _NEEDS[p], low), r"(?U)[,;|]|\band\b", -1), F.array().cast("array<string>")) for p in NOTE_SKILLS]
     parts = F.transform(F.flatten(F.array(*found)), strip)
     return F.array_distinct(F.filter(parts, lambda x: F.char_length(x).between(1, 30)))
 
 
-def note_location(text: Column) -> Column:
+def note_location(text: Column, low: Column | None = None) -> Column:
     """struct of city, region, country: first, second of three or more, last of two or more comma-separated parts."""
-    raw = F.coalesce(*[strip(first_group(text, p)) for p in NOTE_LOCATIONS])
+    raw = F.coalesce(*[strip(first_group(text, p, _NEEDS[p], low)) for p in NOTE_LOCATIONS])
 
     def place(x: Column) -> Column:
         parts = F.transform(F.split(x, ",", -1), strip)
@@ -272,10 +280,12 @@ def note_location(text: Column) -> Column:
 
 def extract_notes(rows: DataFrame) -> DataFrame:
     """Fragments of (ord, raw_text): only what a pattern finds, at the pattern's confidence."""
-    text, base = F.col("raw_text"), V.METHOD_CONFIDENCE["regex_extracted"]
+    # a column of its own, since each guard would work it out again
+    rows = rows.withColumn("low_", F.lower("raw_text"))
+    text, low, base = F.col("raw_text"), F.col("low_"), V.METHOD_CONFIDENCE["regex_extracted"]
     conf = {f: base * x for f, x in V.NOTE_FACTORS.items()}
     some = lambda c: F.when(F.size(c) > 0, c)
-    found = {"emails": some(note_emails(text)), "phones": some(note_phones(text)), "full_name": note_name(text), "current_company": note_company(text), "title": note_title(text), "skills": some(note_skills(text)), "location": note_location(text)}
+    found = {"emails": some(note_emails(text)), "phones": some(note_phones(text)), "full_name": note_name(text, low), "current_company": note_company(text, low), "title": note_title(text, low), "skills": some(note_skills(text, low)), "location": note_location(text, low)}
     return as_fragments(rows.filter(strip(text) != ""), "recruiter_notes", "ord", {f: _fact(f, v, conf[f]) for f, v in found.items()})
 
 

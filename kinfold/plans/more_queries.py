@@ -214,6 +214,22 @@ def normalize_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("fid").cast("int").alias("id"), F.array_join(value("emails"), ",").alias("emails"), F.array_join(value("phones"), ",").alias("phones"), value("location_country").alias("country"), F.round("location_country.confidence", 6).alias("country_confidence"), value("full_name").alias("full_name"), F.col("location.value.text").alias("place"), F.col("location.value.country").alias("inner_country"), text.alias("skills"))
 
 
+#: (text, code, confidence) of countries by part of a name, and (text, E.164) of numbers of plans checked by length.
+NEAR_COUNTRIES = (("Nether", "NL", 0.85), ("emirates", "AE", 0.85), ("Narnia", None, None), ("norw", "NO", 0.85), ("NOR", "NO", 1.0))
+FAR_PHONES = (("+351 912 345 678", "+351912345678"), ("00 47 21 02 33 44", "+4721023344"), ("+999 123 456 789", None), ("+64 3", None), ("912 345 678 9", None))
+_sql = lambda x: "NULL" if x is None else repr(x)
+
+
+@query(f"""
+    WITH c(i, code, confidence) AS (VALUES {", ".join(f"({i}, {_sql(c)}, {_sql(s)})" for i, (_, c, s) in enumerate(NEAR_COUNTRIES))}), p(j, phone) AS (VALUES {", ".join(f"({i}, {_sql(x)})" for i, (_, x) in enumerate(FAR_PHONES))})
+    SELECT s_suppkey AS id, code, CAST(confidence AS DOUBLE) AS confidence, phone FROM supplier JOIN c ON i = s_suppkey % {len(NEAR_COUNTRIES)} JOIN p ON j = s_suppkey % {len(FAR_PHONES)}""")
+def normalize_abroad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries by part of their name, and numbers of regions without a plan of their own."""
+    k = F.col("s_suppkey")
+    raw = [one_of(k, *[x[0] for x in given]) for given in (NEAR_COUNTRIES, FAR_PHONES)]
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), N.country(raw[0]).alias("c"), N.phone(raw[1], F.lit("PT")).alias("phone")).select("id", "c.code", "c.confidence", "phone")
+
+
 #: (text, date, confidence) of dates that no fixed form fits, and of those that count as none.
 LOOSE_DATES = (("around March 2019 or so", "2019-03", 0.9), ("since 12 Sep 2020", "2020-09", 0.9), ("2018, I think", "2018", 0.8), ("Present", None, None), ("till date", None, None), ("some day", None, None), ("5/2017", "2017-05", 1.0), ("1850", None, None))
 _DATE_VALUES = ", ".join(f"({i}, {'NULL' if d is None else repr(d)}, {'NULL' if c is None else c})" for i, (_, d, c) in enumerate(LOOSE_DATES))

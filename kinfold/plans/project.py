@@ -58,20 +58,15 @@ class OutputConfig:
             raise ConfigError(f"can't load {path}: {error}") from error
 
 
-# The configurations that come with the engine.
+# The first of the configurations that come with the engine.
 PRESETS = {
     "default": {"fields": [
         {"path": "full_name", "required": True}, {"path": "primary_email", "from": "emails[0]", "required": True}, {"path": "phone", "from": "phones[0]"},
         {"path": "current_company"}, {"path": "title"}, {"path": "skills", "from": "skills[].name"}, {"path": "city", "from": "location.city"},
         {"path": "country", "from": "location.country"}, {"path": "years_experience"}, {"path": "linkedin", "from": "links.linkedin"}, {"path": "github", "from": "links.github"},
     ]},
-    "hr_crm": {"fields": [{"path": "name", "from": "full_name", "required": True}, {"path": "email", "from": "emails[0]", "required": True}, {"path": "phone", "from": "phones[0]"}, {"path": "company", "from": "current_company", "on_missing": "omit"}], "include_confidence": False, "include_provenance": False, "on_missing": "omit"},
-    "tech_screening": {"fields": [
-        {"path": "candidate", "from": "full_name", "required": True}, {"path": "email", "from": "emails[0]"}, {"path": "top_skills", "from": "skills[].name"},
-        {"path": "github_profile", "from": "links.github", "on_missing": "omit"}, {"path": "years_exp", "from": "years_experience"}, {"path": "current_role", "from": "title", "on_missing": "null"},
-    ], "include_provenance": False},
-    "compliance_audit": {"fields": [{"path": "full_name", "required": True}, {"path": "primary_email", "from": "emails[0]", "required": True}, {"path": "all_emails", "from": "emails"}, {"path": "phone", "from": "phones[0]"}]},
-    "custom": {"fields": [{"path": "candidate_name", "from": "full_name", "required": True}, {"path": "contact_email", "from": "emails[0]", "required": True}, {"path": "skill_list", "from": "skills[].name"}, {"path": "company", "from": "current_company", "on_missing": "omit"}], "include_confidence": False, "include_provenance": False},
+    "contacts": {"fields": [{"path": "who", "from": "full_name"}, {"path": "emails"}, {"path": "phones"}], "include_confidence": False, "include_provenance": False, "on_missing": "omit"},
+    "audit": {"fields": [{"path": "candidate_id"}, {"path": "full_name"}]},
 }
 
 

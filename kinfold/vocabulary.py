@@ -65,22 +65,25 @@ ATS_LIST_KEYS = ("candidates", "applicants", "records", "data", "results")
 ATS_SIGNAL_KEYS = ("name", "email", "phone", "candidate_name", "applicant_name", "contact_email", "full_name")
 ATS_EMPLOYER_KEYS = ("employer", "current_employer", "current_position")
 
-# Skills and their aliases. A name listed without itself has no alias of its own.
-SKILLS = {
-    "Python": ("python", "python3", "py", "cpython"), "JavaScript": ("javascript", "js", "es6", "ecmascript"), "Node.js": ("node", "nodejs", "node.js"),
-    "React": ("react", "reactjs", "react.js"), "Angular": ("angular", "angularjs"), "Vue.js": ("vue", "vuejs", "vue.js"), "TypeScript": ("typescript", "ts"),
-    "Java": ("java",), "Spring Framework": ("spring",), "Spring Boot": ("spring boot", "springboot"),
-    "Machine Learning": ("ml", "machine learning", "machine-learning"), "Deep Learning": ("deep learning", "deep-learning", "dl"),
-    "Artificial Intelligence": ("ai", "artificial intelligence"), "Natural Language Processing": ("nlp", "natural language processing"),
-    "Computer Vision": ("cv", "computer vision"), "Data Science": ("data science", "data-science"), "TensorFlow": ("tensorflow", "tf"), "PyTorch": ("pytorch", "torch"),
-    "Pandas": ("pandas",), "NumPy": ("numpy",), "scikit-learn": ("scikit-learn", "sklearn"), "AWS": ("aws", "amazon web services"),
-    "Google Cloud Platform": ("gcp", "google cloud"), "Microsoft Azure": ("azure", "microsoft azure"), "Docker": ("docker",), "Kubernetes": ("kubernetes", "k8s"),
-    "SQL": ("sql",), "MySQL": ("mysql",), "PostgreSQL": ("postgres", "postgresql"), "MongoDB": ("mongodb", "mongo"), "Redis": ("redis",),
-    "C++": ("c++", "cpp"), "C#": ("c#", "csharp"), "Go": ("golang", "go"), "Rust": ("rust",), "Ruby": ("ruby",), "Scala": ("scala",), "Kotlin": ("kotlin",), "Swift": ("swift",), "R": ("r",),
-    "HTML": ("html", "html5"), "CSS": ("css", "css3"), "REST APIs": ("rest", "rest api", "restful"), "GraphQL": ("graphql",),
-    "Git": ("git",), "GitHub": ("github",), "CI/CD": ("ci/cd", "cicd"), "Agile": ("agile",), "Scrum": ("scrum",), "Linux": ("linux", "unix"),
+# Canonical skill names by alias.
+SKILL_ALIASES = {
+    "python": "Python", "python3": "Python", "py": "Python", "cpython": "Python", "javascript": "JavaScript", "js": "JavaScript", "es6": "JavaScript",
+    "ecmascript": "JavaScript", "node": "Node.js", "nodejs": "Node.js", "node.js": "Node.js", "react": "React", "reactjs": "React", "react.js": "React",
+    "angular": "Angular", "angularjs": "Angular", "vue": "Vue.js", "vuejs": "Vue.js", "vue.js": "Vue.js", "typescript": "TypeScript", "ts": "TypeScript",
+    "java": "Java", "spring": "Spring Framework", "spring boot": "Spring Boot", "springboot": "Spring Boot", "ml": "Machine Learning",
+    "machine learning": "Machine Learning", "machine-learning": "Machine Learning", "deep learning": "Deep Learning", "deep-learning": "Deep Learning",
+    "dl": "Deep Learning", "ai": "Artificial Intelligence", "artificial intelligence": "Artificial Intelligence", "nlp": "Natural Language Processing",
+    "natural language processing": "Natural Language Processing", "cv": "Computer Vision", "computer vision": "Computer Vision",
+    "data science": "Data Science", "data-science": "Data Science", "tensorflow": "TensorFlow", "tf": "TensorFlow", "pytorch": "PyTorch",
+    "torch": "PyTorch", "pandas": "Pandas", "numpy": "NumPy", "scikit-learn": "scikit-learn", "sklearn": "scikit-learn", "aws": "AWS",
+    "amazon web services": "AWS", "gcp": "Google Cloud Platform", "google cloud": "Google Cloud Platform", "azure": "Microsoft Azure",
+    "microsoft azure": "Microsoft Azure", "docker": "Docker", "kubernetes": "Kubernetes", "k8s": "Kubernetes", "sql": "SQL", "mysql": "MySQL",
+    "postgres": "PostgreSQL", "postgresql": "PostgreSQL", "mongodb": "MongoDB", "mongo": "MongoDB", "redis": "Redis", "c++": "C++", "cpp": "C++",
+    "c#": "C#", "csharp": "C#", "golang": "Go", "go": "Go", "rust": "Rust", "ruby": "Ruby", "scala": "Scala", "kotlin": "Kotlin", "swift": "Swift",
+    "r": "R", "html": "HTML", "html5": "HTML", "css": "CSS", "css3": "CSS", "rest": "REST APIs", "rest api": "REST APIs", "restful": "REST APIs",
+    "graphql": "GraphQL", "git": "Git", "github": "GitHub", "ci/cd": "CI/CD", "cicd": "CI/CD", "agile": "Agile", "scrum": "Scrum", "linux": "Linux",
+    "unix": "Linux",
 }
-SKILL_ALIASES = {alias: name for name, aliases in SKILLS.items() for alias in aliases}
 
 # Informal country names.
 COUNTRY_ALIASES = {
@@ -102,6 +105,10 @@ PHONE_PLANS = {
     "DE": ("49", "0", r"1[5-7]\d{8,9}|[2-9]\d{6,10}"), "FR": ("33", "0", r"[1-79]\d{8}"), "AU": ("61", "0", r"[23478]\d{8}"), "JP": ("81", "0", r"[789]0\d{8}|[1-9]\d{8}"),
 }
 
+#: Calling codes of the world's other numbering plans (public list), whose numbers are checked by length only.
+CALLING_CODES = r"7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-6]\d|29[0-9]|3[578]\d|42[013]|50\d|59\d|6[789]\d|85[02356]|88\d|9[67]\d|99[2-68]"
+LEAST_NATIONAL, MOST_DIGITS = 5, 15
+
 CONFIDENT = "struct<value:{},confidence:double>"
 _LOCATION = "struct<city:string,region:string,country:string,text:string,bad:boolean>"
 EXPERIENCE = "struct<company:string,title:string,start:string,end:string,summary:string>"

@@ -27,6 +27,7 @@ def test_email_list(spark):
         ("98765 43210", "IN", "+919876543210"), ("09876543210", "IN", "+919876543210"), ("+91 98765-43210", "US", "+919876543210"), ("(415) 555-2671", "US", "+14155552671"),
         ("+1 415 555 2671", "IN", "+14155552671"), ("+44 (0)20 7946 0958", "IN", "+442079460958"), ("123", "IN", None), ("invalid", "IN", None), ("", "IN", None), (None, "IN", None),
         ("8123 4567", "SG", "+6581234567"), ("415 555 2671", "XX", None), ("0044 20 7946 0958", "IN", "+442079460958"),
+        ("+351 912 345 678", "IN", "+351912345678"), ("00 7 495 123-45-67", "IN", "+74951234567"), ("+999 123 456 789", "IN", None), ("+351 12", "IN", None), ("+49 1", "IN", None), ("+351 1234567890123", "IN", None),
     ],
 )
 def test_phone(spark, text, region, want):
@@ -40,6 +41,12 @@ def test_country(spark):
     assert got == [("US", 1.0), ("US", 1.0), ("US", 1.0), ("IN", 1.0), ("GB", 0.95), ("IN", 0.95), ("FR", 0.95), ("NO", 0.95), None, None, None, None, ("US", 0.95)]
 
 
+def test_parts_of_country_names(spark):
+    got = [tuple(v) if v else None for v in values(spark, ["Nether", "emirates", "REPUBLIC", "Côte", "ôte d", "land", "xx", "Narnia"], N.country)]
+    assert got[:2] == [("NL", 0.85), ("AE", 0.85)] and got[3] == ("CI", 0.85) and got[-2:] == [None, None]
+    assert all(v and v[1] == 0.85 for v in got[2:6])
+
+
 def test_dates(spark):
     given = ["January 2024", "Jan 2024", "1/2024", "2024-03", "2024/12", "03-2024", "2024 Mar", "Jan, 2024", "5.2024", "2024.05", "2024", "1800", "Present", "till date", "", None, "nonsense", "15 March 2021", "2024-01-15"]
     got = [tuple(v) if v else None for v in values(spark, given, N.date)]

@@ -248,8 +248,8 @@ def test_cli_and_stream(spark, tmp_path, capsys):
     from kinfold import cli
     from kinfold.streaming.ingest import append_fragments, stream_notes
 
-    assert cli.main(["--text", PATHS["recruiter_notes"], "--config", "hr_crm"]) == 0
-    assert {x["name"] for x in json.loads(capsys.readouterr().out)} == {"Ada Verma", "Hugo Stone"}
+    assert cli.main(["--text", PATHS["recruiter_notes"], "--config", "contacts"]) == 0
+    assert {x["who"] for x in json.loads(capsys.readouterr().out)} == {"Ada Verma", "Hugo Stone"}
     assert cli.main(["--text", PATHS["recruiter_notes"], "--config", str(tmp_path / "none.json")]) == 1
     with pytest.raises(SystemExit):
         cli.main([])
