@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.components import components
-from kinfold.runtime import anti_join_ids, join_hot, materialize
+from kinfold.runtime import anti_join_ids, join_hot, materialize, tidy
 
 #: Fingerprints link at this many differing bits or fewer.
 MAX_BITS = 2
@@ -21,7 +22,11 @@ BLOCKS = (13, 13, 13, 13, 12)
 #: Buckets of up to this many distinct fingerprints are compared pair by pair, larger ones by shared neighbours.
 PAIRWISE = 16
 SEED = 42
+#: Of near-duplicates beyond fingerprints: words of a shingle, least similarity, bands, and min-hashes of a band. A pair
+#: of that similarity shares no band with probability (1 - 0.8 ** 2) ** 10, four in 100,000.
+NEAR_WIDTH, NEAR_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 2
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_BAND_SEEDS = np.array([xxhash.xxh64_intdigest(b"band", i) for i in range(BANDS * BAND_ROWS)], np.uint64)
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -97,6 +102,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+@tidy
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -115,8 +121,115 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, doc_id, fp, size, bands, hashes): hash of the words, SimHash, distinct shingles, bands of min-hashes, and
+    the shingles' hashes in order. Texts without words have no bands."""
+    for batch in batches:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words = (text.as_buffer().to_pybytes() if text.is_valid else b"").translate(LOWER).split()
+            joined, width = b" ".join(words), min(NEAR_WIDTH, len(words))
+            ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+            found = np.array([xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip([0, *ends[:-1]], [e - 1 for e in ends[width - 1 :]])] if words else [], np.uint64)
+            every, bands = np.unique(found), []
+            if len(every):
+                mixed = (every[None] ^ _BAND_SEEDS[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
+                least = (mixed ^ (mixed >> np.uint64(32))).min(axis=1).reshape(BANDS, -1)
+                bands = [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least)]
+            fp = bit_majority(found) if len(found) else 0
+            rows.append((xxhash.xxh64_intdigest(joined) - (1 << 63), doc_id, fp - (fp >> 63 << 64), len(every), bands, np.unique((every >> np.uint64(32)).astype("<u4")).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SKETCH.types)] if rows else [pa.array([], t) for t in _SKETCH.types], schema=_SKETCH)
+
+
+_SKETCH = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64())), ("hashes", pa.binary())])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs whose shingles reach NEAR_SIMILARITY."""
+    for batch in batches:
+        x, y = (batch.column(i).to_pylist() for i in (2, 3))
+        good = []
+        for i, (p, q) in enumerate(zip(x, y)):
+            p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if both >= NEAR_SIMILARITY * (len(p) + len(q) - both):
+                good.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The similar ones among distinct pairs (a, b) of nodes, a written table. Sizes that differ too much rule out."""
+    for side in ("a", "b"):
+        n = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        known = materialize(sketches.withColumnRenamed("node", side).join(n, side).select(side, F.col("size").alias(f"{side}_size"), F.col("hashes").alias(f"{side}_hashes"), "n"), f"sets_{side}")
+        pairs = join_hot(pairs, known, side, "inner").drop("n")
+        if side == "a":
+            pairs = materialize(pairs, "half")
+    alike = F.least("a_size", "b_size") >= F.lit(NEAR_SIMILARITY) * F.greatest("a_size", "b_size")
+    return materialize(pairs.filter(alike).select("a", "b", "a_hashes", "b_hashes").mapInArrow(_similar, "a long, b long"), "similar")
+
+
+def near_edges(sketches: DataFrame) -> DataFrame:
+    """Edges (a, b) between similar texts, from sketches (node, fp, size, bands, hashes), one row a node.
+
+    Candidates are fingerprints MAX_BITS apart or less and texts that share a band. Bands of up to PAIRWISE texts are
+    compared pair by pair. In a larger one, all are compared with its first text; those that aren't similar go on
+    without it and meet twice as many first texts in the next round, until so few are left that all pairs are
+    compared. A band of copies is done in one round.
+    """
+    keyed = materialize(sketches.select("node", F.explode("bands").alias("band")), "bands")
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("n"))
+    rest = materialize(join_hot(keyed, materialize(sizes.filter("n > 1"), "sizes"), "band", "inner"), "rest")
+    fps = sketches.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    fps = materialize(fps, "fps")
+    close = close_pairs(fps.select("fp"))
+    named = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    close = close.join(named("a"), "a").join(named("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    same = join_hot(sketches.select("node", "fp"), fps.filter("n > 1"), "fp", "inner").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs, found, firsts = close.unionByName(same), [], 1
+    while True:
+        few, many = rest.filter(F.col("n") <= PAIRWISE), rest.filter(F.col("n") > PAIRWISE)
+        one, two = few.select("band", F.col("node").alias("a")), few.select("band", F.col("node").alias("b"))
+        pairs = pairs.unionByName(one.join(two, "band").filter("a < b").select("a", "b"))
+        leads = many.groupBy("band", F.pmod(F.xxhash64("node", "band"), F.lit(firsts)).alias("salt")).agg(F.min("node").alias("lead"))
+        leads = materialize(leads.groupBy("band").agg(F.collect_list("lead").alias("leads")).join(many.groupBy("band").agg(F.count("*").alias("n")), "band"), "leads")
+        met = materialize(join_hot(many.drop("n"), leads, "band", "inner").select("band", "node", F.explode("leads").alias("lead")), "met")
+        pairs = pairs.unionByName(met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).filter("a <> b").distinct()
+        found.append(_verified(materialize(pairs, "pairs"), sketches))
+        if leads.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        ends = found[-1].unionByName(found[-1].select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("lead"))
+        done = met.join(ends, ["node", "lead"], "left_semi").select("band", "node").unionByName(met.filter("node = lead").select("band", "node"))
+        left = materialize(many.select("band", "node").join(done.distinct(), ["band", "node"], "left_anti"), "left")
+        sizes = materialize(left.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        rest, firsts = materialize(join_hot(left, sizes, "band", "inner"), "rest"), 2 * firsts
+        pairs = found[-1].limit(0)
+
+
+@tidy
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, component_id (smallest id reachable) over links of similar texts.
+
+    Texts are similar if their sets of NEAR_WIDTH-word shingles (A-Z lower-cased; fewer words: the whole sequence) reach
+    a Jaccard similarity of NEAR_SIMILARITY; texts without words are equal. SimHash fingerprints that far apart differ
+    in ten of 64 bits on average, beyond any blocks that agree; so bands of min-hashes add the candidates that the
+    fingerprints can't, and every pair is verified on the sets. A null id takes part and never is the smallest. Other
+    columns aren't read.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = materialize(slim.mapInArrow(_sketches, "node long, doc_id long, fp long, size int, bands array<long>, hashes binary"), "rows")
+    sketches = materialize(rows.dropDuplicates(["node"]).filter("size > 0").select("node", "fp", "size", "bands", "hashes"), "sketches")
+    roots = components(near_edges(sketches))
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    rooted = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.xxhash64("node"))), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "least")
+    known = materialize(join_hot(rooted, least, "root", "inner", n="m").select("node", "n", "component_id"), "known")
+    return join_hot(rows.select("node", "doc_id"), known, "node", "inner").select("doc_id", "component_id")
+
+
+@tidy
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest id; null ids stay."""
-    found = simhash_components(docs, id_col, text_col)
+    """docs with one document of each component of similar texts, that of the smallest id; null ids stay."""
+    found = near_components(docs, id_col, text_col)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return anti_join_ids(docs, materialize(gone, "gone"), id_col)

@@ -5,7 +5,7 @@ import pytest
 from oracle import compare
 from test_exact_dedup import plain
 from test_pii import slow_base
-from test_simhash import slow_components, slow_fingerprint
+from test_simhash import slow_near
 
 import corpus_pipeline
 from kinfold.llm import language, pii, queries
@@ -35,7 +35,7 @@ def test_stages_one_by_one(spark, tmp_path):
             assert {r.doc_id for r in after.collect()} == {k for k, _, _ in plain(list(before.items())).values()}
         elif name == "simhash_dedup":
             ids = sorted(before)
-            roots = slow_components([slow_fingerprint(before[i]) for i in ids])
+            roots = slow_near([before[i] for i in ids])
             assert {r.doc_id for r in after.collect()} == {ids[i] for i in set(roots)}
         elif name == "pii":
             rows = after.collect()

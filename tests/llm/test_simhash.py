@@ -81,3 +81,53 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, "other words here now")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.simhash_components(docs).collect())
     assert got == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
+
+
+def shingle_set(text):
+    words = (text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def slow_near(texts):
+    """Least place of every text's component under a Jaccard similarity of 0.8 over 5-word shingles."""
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 4 * max(len(x), len(sets[j])) <= 5 * min(len(x), len(sets[j])) and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_similar_texts_are_found(spark):
+    """Pairs, a group beyond the pairwise bound, texts of a few words, and a common text in otherwise different ones."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = word()
+        return out
+
+    texts = ["", None, " ", "one two", "ONE\ttwo", "one two three", "a b c d e f", "a b c d e g"]
+    for size in (40, 120, 700):
+        for _ in range(8):
+            base = [word() for _ in range(size)]
+            texts += [" ".join(base), " ".join(edited(base, max(1, size // 90))), " ".join(edited(base, size // 10))]
+    hot, line = [word() for _ in range(150)], [word() for _ in range(60)]
+    texts += [" ".join(edited(hot, rng.choice([0, 1, 1, 2]))) for _ in range(80)]
+    texts += [" ".join([*line, *(word() for _ in range(30))]) for _ in range(60)]  # alike, but not enough
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string")
+    found = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == slow_near(texts)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(slow_near(texts)))
+    assert simhash.near_components(docs.limit(0)).collect() == []
