@@ -100,7 +100,7 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: dict[str, tuple[Rule, .
     """Every row of paths (id, blob_id: a written table) with its blob's spans under the given rules, in order."""
     known = ledger.filter(F.col("rule_version").isin(*rules)).filter(F.size("spans") > 0)
     by_blob = known.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    sizes = paths.join(by_blob.select("blob_id"), "blob_id").groupBy("blob_id").agg(F.count("*").alias("n"))
+    sizes = paths.groupBy("blob_id").agg(F.count("*").alias("n"))
     out = join_hot(paths, materialize(by_blob.join(sizes, "blob_id"), "findings"), "blob_id", "left", total=paths.count())
     return out.withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS))).drop("n")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +24,8 @@ SEED = 42
 #: Of near-duplicates beyond fingerprints: words of a shingle, least similarity, bands, and min-hashes of a band. A pair
 #: of that similarity shares no band with probability (1 - 0.8 ** 2) ** 10, four in 100,000.
 NEAR_WIDTH, NEAR_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 2
+#: Texts of a large band that all others of it are compared with.
+LEADS = 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BAND_SEEDS = np.array([xxhash.xxh64_intdigest(b"band", i) for i in range(BANDS * BAND_ROWS)], np.uint64)
 _LANES = np.uint64(0x0101010101010101)
@@ -173,37 +174,29 @@ def near_edges(sketches: DataFrame) -> DataFrame:
     """Edges (a, b) between similar texts, from sketches (node, fp, size, bands, hashes), one row a node.
 
     Candidates are fingerprints MAX_BITS apart or less and texts that share a band. Bands of up to PAIRWISE texts are
-    compared pair by pair. In a larger one, all are compared with its first text; those that aren't similar go on
-    without it and meet twice as many first texts in the next round, until so few are left that all pairs are
-    compared. A band of copies is done in one round.
+    compared pair by pair. In a larger one all are compared with LEADS of it: of each share, drawn anew in every band,
+    the text whose bands most texts have, since that is what edited copies have in common. So the work is linear in a
+    group of copies, and links between two texts of a large band that are like none of these may be missed.
     """
     keyed = materialize(sketches.select("node", F.explode("bands").alias("band")), "bands")
     sizes = keyed.groupBy("band").agg(F.count("*").alias("n"))
     rest = materialize(join_hot(keyed, materialize(sizes.filter("n > 1"), "sizes"), "band", "inner"), "rest")
-    fps = sketches.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n"))
-    fps = materialize(fps, "fps")
-    close = close_pairs(fps.select("fp"))
+    few, many = rest.filter(F.col("n") <= PAIRWISE), rest.filter(F.col("n") > PAIRWISE)
+    one, two = few.select("band", F.col("node").alias("a")), few.select("band", F.col("node").alias("b"))
+    pairs = one.join(two, "band").filter("a < b").select("a", "b")
+
+    spread = materialize(many.groupBy("node").agg(F.sum("n").alias("spread")), "spread")
+    known = many.select("band", "node").join(spread, "node")
+    leads = known.groupBy("band", F.pmod(F.xxhash64("node", "band"), F.lit(LEADS)).alias("share")).agg(F.max(F.struct("spread", "node"))["node"].alias("lead"), F.count("*").alias("n"))
+    leads = leads.groupBy("band").agg(F.collect_list("lead").alias("leads"), F.sum("n").alias("n"))
+    met = join_hot(many.drop("n"), materialize(leads, "leads"), "band", "inner").select("node", F.explode("leads").alias("lead"))
+    pairs = pairs.unionByName(met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")))
+
+    fps = materialize(sketches.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "fps")
     named = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
-    close = close.join(named("a"), "a").join(named("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    close = close_pairs(fps.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     same = join_hot(sketches.select("node", "fp"), fps.filter("n > 1"), "fp", "inner").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    pairs, found, firsts = close.unionByName(same), [], 1
-    while True:
-        few, many = rest.filter(F.col("n") <= PAIRWISE), rest.filter(F.col("n") > PAIRWISE)
-        one, two = few.select("band", F.col("node").alias("a")), few.select("band", F.col("node").alias("b"))
-        pairs = pairs.unionByName(one.join(two, "band").filter("a < b").select("a", "b"))
-        leads = many.groupBy("band", F.pmod(F.xxhash64("node", "band"), F.lit(firsts)).alias("salt")).agg(F.min("node").alias("lead"))
-        leads = materialize(leads.groupBy("band").agg(F.collect_list("lead").alias("leads")).join(many.groupBy("band").agg(F.count("*").alias("n")), "band"), "leads")
-        met = materialize(join_hot(many.drop("n"), leads, "band", "inner").select("band", "node", F.explode("leads").alias("lead")), "met")
-        pairs = pairs.unionByName(met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).filter("a <> b").distinct()
-        found.append(_verified(materialize(pairs, "pairs"), sketches))
-        if leads.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        ends = found[-1].unionByName(found[-1].select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("lead"))
-        done = met.join(ends, ["node", "lead"], "left_semi").select("band", "node").unionByName(met.filter("node = lead").select("band", "node"))
-        left = materialize(many.select("band", "node").join(done.distinct(), ["band", "node"], "left_anti"), "left")
-        sizes = materialize(left.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        rest, firsts = materialize(join_hot(left, sizes, "band", "inner"), "rest"), 2 * firsts
-        pairs = found[-1].limit(0)
+    return _verified(materialize(pairs.unionByName(close).unionByName(same).filter("a <> b").distinct(), "pairs"), sketches)
 
 
 @tidy
@@ -213,7 +206,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are similar if their sets of NEAR_WIDTH-word shingles (A-Z lower-cased; fewer words: the whole sequence) reach
     a Jaccard similarity of NEAR_SIMILARITY; texts without words are equal. SimHash fingerprints that far apart differ
     in ten of 64 bits on average, beyond any blocks that agree; so bands of min-hashes add the candidates that the
-    fingerprints can't, and every pair is verified on the sets. A null id takes part and never is the smallest. Other
+    fingerprints can't, and every pair is verified on the sets. Of large groups see near_edges. A null id takes part and never is the smallest. Other
     columns aren't read.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

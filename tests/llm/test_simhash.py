@@ -131,3 +131,20 @@ def test_similar_texts_are_found(spark):
     assert [found[i] for i in range(len(texts))] == slow_near(texts)
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(slow_near(texts)))
     assert simhash.near_components(docs.limit(0)).collect() == []
+
+
+def test_recall_in_a_large_group(spark):
+    """An original and copies with up to three edits, most of which are alike to the original only."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, texts = [word() for _ in range(150)], []
+    for i in range(300):
+        out = list(base)
+        for at in rng.sample(range(150), i % 4 if i else 0):
+            out[at] = word()
+        texts.append(" ".join(out))
+    want = slow_near(texts)
+    found = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    pairs = [(i, j) for i in range(300) for j in range(i) if want[i] == want[j]]
+    assert sum(found[i] == found[j] for i, j in pairs) >= 0.99 * len(pairs)
+    assert all(want[i] == want[j] for i in range(300) for j in range(i) if found[i] == found[j])
