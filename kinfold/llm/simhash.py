@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.sampling import slices
 from kinfold.operators.components import components
 from kinfold.runtime import anti_join_ids, join_hot, materialize, tidy
 
@@ -25,7 +26,7 @@ SEED = 42
 #: of that similarity shares no band with probability (1 - 0.8 ** 2) ** 10, four in 100,000.
 NEAR_WIDTH, NEAR_SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 2
 #: Texts of a large band that all others of it are compared with.
-LEADS = 8
+LEADS = 4
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BAND_SEEDS = np.array([xxhash.xxh64_intdigest(b"band", i) for i in range(BANDS * BAND_ROWS)], np.uint64)
 _LANES = np.uint64(0x0101010101010101)
@@ -125,7 +126,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, doc_id, fp, size, bands, hashes): hash of the words, SimHash, distinct shingles, bands of min-hashes, and
     the shingles' hashes in order. Texts without words have no bands."""
-    for batch in batches:
+    for batch in slices(batches, 256):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             words = (text.as_buffer().to_pybytes() if text.is_valid else b"").translate(LOWER).split()
@@ -147,11 +148,10 @@ _SKETCH = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the pairs whose shingles reach NEAR_SIMILARITY."""
-    for batch in batches:
-        x, y = (batch.column(i).to_pylist() for i in (2, 3))
+    for batch in slices(batches):
         good = []
-        for i, (p, q) in enumerate(zip(x, y)):
-            p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+        for i, (p, q) in enumerate(zip(batch.column(2), batch.column(3))):
+            p, q = (np.frombuffer(x.as_buffer(), "<u4") for x in (p, q))
             both = len(np.intersect1d(p, q, assume_unique=True))
             if both >= NEAR_SIMILARITY * (len(p) + len(q) - both):
                 good.append(i)
