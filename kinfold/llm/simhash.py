@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.sampling import slices
 from kinfold.operators.components import components
-from kinfold.runtime import anti_join_ids, join_hot, materialize, tidy
+from kinfold.runtime import anti_join_ids, join_hot, materialize, membership_bitmap, split_by_bitmap, tidy
 
 #: Fingerprints link at this many differing bits or fewer.
 MAX_BITS = 2
@@ -158,11 +158,17 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The similar ones among distinct pairs (a, b) of nodes, a written table. Sizes that differ too much rule out."""
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The similar ones among distinct pairs (a, b) of nodes, a written table. Sizes that differ too much rule out.
+
+    rows: (node, size, hashes), a written table. Only the sets of nodes in pairs are shuffled.
+    """
+    paired = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
+    sets = split_by_bitmap(rows.select("node", "size", "hashes"), membership_bitmap(paired, "node"), F.col("node")).filter("kf_maybe_").drop("kf_maybe_")
+    sets = materialize(sets.join(paired, "node", "left_semi").dropDuplicates(["node"]), "sets")
     for side in ("a", "b"):
         n = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        known = materialize(sketches.withColumnRenamed("node", side).join(n, side).select(side, F.col("size").alias(f"{side}_size"), F.col("hashes").alias(f"{side}_hashes"), "n"), f"sets_{side}")
+        known = materialize(sets.withColumnRenamed("node", side).join(n, side).select(side, F.col("size").alias(f"{side}_size"), F.col("hashes").alias(f"{side}_hashes"), "n"), f"sets_{side}")
         pairs = join_hot(pairs, known, side, "inner").drop("n")
         if side == "a":
             pairs = materialize(pairs, "half")
@@ -170,8 +176,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return materialize(pairs.filter(alike).select("a", "b", "a_hashes", "b_hashes").mapInArrow(_similar, "a long, b long"), "similar")
 
 
-def near_edges(sketches: DataFrame) -> DataFrame:
-    """Edges (a, b) between similar texts, from sketches (node, fp, size, bands, hashes), one row a node.
+def near_edges(sketches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between similar texts, from sketches (node, fp, bands), one row a node, and rows (node, size, hashes).
 
     Candidates are fingerprints MAX_BITS apart or less and texts that share a band. Bands of up to PAIRWISE texts are
     compared pair by pair. In a larger one all are compared with LEADS of it: of each share, drawn anew in every band,
@@ -196,7 +202,7 @@ def near_edges(sketches: DataFrame) -> DataFrame:
     named = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
     close = close_pairs(fps.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     same = join_hot(sketches.select("node", "fp"), fps.filter("n > 1"), "fp", "inner").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return _verified(materialize(pairs.unionByName(close).unionByName(same).filter("a <> b").distinct(), "pairs"), sketches)
+    return _verified(materialize(pairs.unionByName(close).unionByName(same).filter("a <> b").distinct(), "pairs"), rows)
 
 
 @tidy
@@ -211,8 +217,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     rows = materialize(slim.mapInArrow(_sketches, "node long, doc_id long, fp long, size int, bands array<long>, hashes binary"), "rows")
-    sketches = materialize(rows.dropDuplicates(["node"]).filter("size > 0").select("node", "fp", "size", "bands", "hashes"), "sketches")
-    roots = components(near_edges(sketches))
+    sketches = materialize(rows.filter("size > 0").select("node", "fp", "bands").distinct(), "sketches")
+    roots = components(near_edges(sketches, rows))
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     rooted = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.xxhash64("node"))), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "least")
