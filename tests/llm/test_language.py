@@ -1,3 +1,4 @@
+import math
 import random
 
 from kinfold.llm import language
@@ -73,3 +74,44 @@ def test_long_text_in_pieces():
     bucket, letter = language._buckets(language._bytes(long))
     assert size[0] == letter.sum()
     assert model.languages[int(whole[0][:-1].argmax())] == "de"
+
+
+def test_sixty_languages_of_small_shares_are_kept(spark):
+    """Shares of 0.2 to 5 per cent: none vanishes, and hardly a document gets another language."""
+    rng, rows = random.Random(7), []
+    for k in range(60):
+        stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüñ") for _ in range(rng.choice([2, 3]))) for _ in range(6)]
+        for _ in range(8 if k < 40 else 20 if k < 55 else 150):
+            rows.append((len(rows), " ".join("".join(rng.choice(stems) for _ in range(2)) for _ in range(40)), f"l{k:02}", "s"))
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), train_rows=1200).collect()}
+    assert all(r.accepted for r in found.values())
+    assert {r.language for r in found.values()} == {r[2] for r in rows}
+    assert sum(found[r[0]].language == r[2] for r in rows) >= 0.98 * len(rows)
+
+
+def test_fusion_equals_working_it_out_by_hand(spark):
+    """Posteriors from the model's likelihoods and plain counts of the other documents' votes."""
+    rows, docs = table(spark)
+    docs = docs.limit(60).persist()
+    given = sorted(docs.collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    names = sorted({r.lang for r in given})
+    model = language.TextModel.fit([(r.text, r.lang) for r in given], names)
+    ll = model.score([r.text for r in given])[0]
+    votes = [int(x[:-1].argmax()) for x in ll]
+    host = [r.source.split("//")[1].split("/")[0] for r in given]
+    suffix = [h.rsplit(".", 1)[1] for h in host]
+    k, kinds = len(names), len({r.lang for r in given})
+    for at, r in enumerate(given):
+        others = [j for j in range(len(given)) if j != at]
+        logs = []
+        for i in range(k):
+            n = lambda same: (sum(same(j) and votes[j] == i for j in others), sum(map(bool, map(same, others))))  # noqa: B023, E731
+            (c, _), (s, s_all), (h, h_all), (d, _) = n(lambda j: True), n(lambda j: suffix[j] == suffix[at]), n(lambda j: host[j] == host[at]), n(lambda j: given[j].lang == r.lang)  # noqa: B023
+            p = (c + language.CORPUS_STRENGTH / k) / (len(others) + language.CORPUS_STRENGTH)
+            p = (s + language.SUFFIX_STRENGTH * p) / (s_all + language.SUFFIX_STRENGTH)
+            p = (h + language.HOST_STRENGTH * p) / (h_all + language.HOST_STRENGTH)
+            logs.append(math.log(p) + math.log((d + 1) / (c + max(1, kinds))) + language.TEMPER * ll[at][i])
+        want = 1 / sum(math.exp(x - max(logs)) for x in logs)
+        assert got[r.doc_id].language == names[logs.index(max(logs))]
+        assert abs(got[r.doc_id].posterior - want) < 1e-3
