@@ -158,14 +158,19 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], ["a", "b"])
 
 
+def _sets_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, size, hashes), one row for each node of wanted, a written table; only the sets of these are shuffled."""
+    sets = split_by_bitmap(rows.select("node", "size", "hashes"), membership_bitmap(wanted, "node"), F.col("node")).filter("kf_maybe_").drop("kf_maybe_")
+    return sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The similar ones among distinct pairs (a, b) of nodes, a written table. Sizes that differ too much rule out.
 
     rows: (node, size, hashes), a written table. Only the sets of nodes in pairs are shuffled.
     """
     paired = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
-    sets = split_by_bitmap(rows.select("node", "size", "hashes"), membership_bitmap(paired, "node"), F.col("node")).filter("kf_maybe_").drop("kf_maybe_")
-    sets = materialize(sets.join(paired, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = materialize(_sets_of(paired, rows), "sets")
     for side in ("a", "b"):
         n = pairs.groupBy(side).agg(F.count("*").alias("n"))
         known = materialize(sets.withColumnRenamed("node", side).join(n, side).select(side, F.col("size").alias(f"{side}_size"), F.col("hashes").alias(f"{side}_hashes"), "n"), f"sets_{side}")
@@ -176,13 +181,65 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(pairs.filter(alike).select("a", "b", "a_hashes", "b_hashes").mapInArrow(_similar, "a long, b long"), "similar")
 
 
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n, least, most): how many of some (root, hashes) have a shingle, and their least and largest root."""
+    for batch in slices(batches, 4096):
+        sets = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(1)]
+        if not sets:
+            continue
+        found, root = np.concatenate(sets), np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        order = np.argsort(found, kind="stable")
+        found, root = found[order], root[order]
+        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+        columns = [found[first], np.diff(np.r_[first, len(found)]), np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "n", "least", "most"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, size, shingle) of (node, root, hashes)."""
+    for batch in slices(batches, 1024):
+        sets = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(2)]
+        if sets:
+            sizes = np.array([len(x) for x in sets], np.int32)
+            columns = [np.repeat(c, sizes) for c in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.concatenate(sets))], ["node", "root", "size", "shingle"])
+
+
+def across_components(texts: DataFrame, roots: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every similar pair (a, b) of the nodes of texts, a written table, whose roots differ; nodes not in roots are alone.
+
+    A prefix filter, which loses none. Shingles are ordered: first those that stand in texts of one component only,
+    which no such pair shares, then the others, the rare ones first. Two similar sets share a shingle among the first
+    1 - NEAR_SIMILARITY of each, and what follows the first that they share bounds what they share. So texts told
+    apart by enough shingles of their own, such as those that only a line in common brings into one band, meet nobody.
+    """
+    rooted = _sets_of(texts, rows).join(roots, "node", "left").select("node", F.coalesce("root", F.xxhash64("node")).alias("root"), "hashes")
+    sets = materialize(rooted, "rooted")
+    counts = sets.select("root", "hashes").mapInArrow(_shingle_counts, "shingle int, n long, least long, most long")
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    common = materialize(counts.filter("least < most").select("shingle", "n"), "common")
+
+    every = sets.mapInArrow(_shingles, "node long, root long, size int, shingle int")
+    every = split_by_bitmap(every, membership_bitmap(common, "shingle"), F.col("shingle")).filter("kf_maybe_").drop("kf_maybe_")
+    held = join_hot(materialize(every, "shingles"), common, "shingle", "inner").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("order"))
+    own = F.col("size") - F.size("order")
+    left = (F.col("size") - F.ceil(F.lit(NEAR_SIMILARITY) * F.col("size")) + 1 - own).cast("int")
+    prefix = held.select("node", "root", "size", own.alias("own"), F.posexplode(F.slice("order", 1, F.greatest(left, F.lit(0)))))
+    prefix = materialize(prefix.select("node", "root", "size", F.col("col.shingle").alias("shingle"), (F.col("size") - F.col("own") - F.col("pos")).alias("after")), "prefix")
+
+    side = lambda c: prefix.select("shingle", F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("root", "size", "after")])
+    most, both = F.least("a_after", "b_after"), F.col("a_size") + F.col("b_size")
+    near = side("a").join(side("b"), "shingle").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (most >= F.lit(NEAR_SIMILARITY) * (both - most)))
+    return _verified(materialize(near.select("a", "b").distinct(), "across"), rows)
+
+
 def near_edges(sketches: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) between similar texts, from sketches (node, fp, bands), one row a node, and rows (node, size, hashes).
 
     Candidates are fingerprints MAX_BITS apart or less and texts that share a band. Bands of up to PAIRWISE texts are
     compared pair by pair. In a larger one all are compared with LEADS of it: of each share, drawn anew in every band,
-    the text whose bands most texts have, since that is what edited copies have in common. So the work is linear in a
-    group of copies, and links between two texts of a large band that are like none of these may be missed.
+    the text whose bands most texts have, since that is what edited copies have in common. That joins most of a group
+    of copies with linear work; across_components finds the links of large bands that it leaves, so none is lost.
     """
     keyed = materialize(sketches.select("node", F.explode("bands").alias("band")), "bands")
     sizes = keyed.groupBy("band").agg(F.count("*").alias("n"))
@@ -202,7 +259,10 @@ def near_edges(sketches: DataFrame, rows: DataFrame) -> DataFrame:
     named = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
     close = close_pairs(fps.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     same = join_hot(sketches.select("node", "fp"), fps.filter("n > 1"), "fp", "inner").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return _verified(materialize(pairs.unionByName(close).unionByName(same).filter("a <> b").distinct(), "pairs"), rows)
+    first = _verified(materialize(pairs.unionByName(close).unionByName(same).filter("a <> b").distinct(), "pairs"), rows)
+    if spread.isEmpty():
+        return first
+    return first.unionByName(across_components(spread.select("node"), components(first), rows))
 
 
 @tidy

@@ -148,3 +148,36 @@ def test_recall_in_a_large_group(spark):
     pairs = [(i, j) for i in range(300) for j in range(i) if want[i] == want[j]]
     assert sum(found[i] == found[j] for i, j in pairs) >= 0.99 * len(pairs)
     assert all(want[i] == want[j] for i in range(300) for j in range(i) if found[i] == found[j])
+
+
+def test_pairs_that_the_first_texts_of_a_large_band_miss(spark):
+    """Pairs alike to each other and to no other of a large group, and texts of a few words; all are linked, no others."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, texts = [word() for _ in range(250)], ["a b c d e f g", "a b c d e f h"]
+    for _ in range(90):
+        out = list(base)
+        for at in rng.sample(range(20, 250), 4):
+            out[at] = word()
+        texts.append(" ".join(out))
+        out[rng.randrange(20)] = word()
+        texts.append(" ".join(out))
+    want = slow_near(texts)
+    assert len(set(want)) > 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
+def test_across_components_against_all_pairs(spark):
+    """Every similar pair of different components and no other, for sets of many sizes and some known components."""
+    rng = random.Random(19)
+    sets = [sorted(rng.sample(range(1, 60), rng.choice([1, 2, 5, 10, 40, 50, 54]))) for _ in range(120)]
+    sets += [[x for x in sets[rng.randrange(120)] if rng.random() < 0.9] or [7] for _ in range(120)]
+    rows = [(i, len(x), b"".join((v * 70_000_001 % 2**32).to_bytes(4, "little") for v in x)) for i, x in enumerate(sets)]
+    roots = {i: i % 7 for i in range(0, 240, 3)}
+    alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    want = {(i, j) for j in range(240) for i in range(j) if roots.get(i, -i - 1) != roots.get(j, -j - 1) and alike(set(sets[i]), set(sets[j]))}
+    tables = [simhash.materialize(spark.createDataFrame(x, t), "given") for x, t in ((rows, "node long, size int, hashes binary"), (sorted(roots.items()), "node long, root long"))]
+    assert len(want) > 100
+    assert {tuple(r) for r in simhash.across_components(tables[0].select("node"), tables[1], tables[0]).collect()} == want
