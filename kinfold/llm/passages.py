@@ -271,9 +271,12 @@ def _windows(repeated, frequent):
             values = values[order]
             first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
             n, none = np.diff(np.r_[first, len(values)]), pa.nulls(len(first), pa.binary())
-            ends = [f.reduceat(side[order].view(np.int64), first) for side in (after, before) for f in (np.minimum, np.maximum)]
-            columns = [np.full(len(n), NEAR, np.int32), values[first].view(np.int64), n.astype(np.int64), np.zeros(len(n), np.int32), none, none, *ends]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_WINDOW)
+            ends = []
+            for side in (after, before):
+                low, high = (f.reduceat(side[order].view(np.int64), first) for f in (np.minimum, np.maximum))
+                ends += [pa.array(low), pa.array(high, mask=low == high)]  # a maximum that is the minimum isn't written
+            columns = [np.full(len(n), NEAR, np.int32), values[first].view(np.int64), n.astype(np.int64), np.zeros(len(n), np.int32), none, none]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *ends], schema=_WINDOW)
 
         for node, found in _text_batches(batches):
             values = min_hash(found)
@@ -308,6 +311,16 @@ def _windows(repeated, frequent):
     return find
 
 
+def _repeated(common):
+    """Rows whose first column, a key, is in the filter."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_inside(common.value, batch.column(0).to_numpy())))
+
+    return find
+
+
 def _parts(masked: np.ndarray, there: np.ndarray, forks: np.ndarray, joins: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, place, key of the stretch) of LEAST_SHARED shingles that may remain of a stretch after one edit.
 
@@ -445,10 +458,15 @@ def passage_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     link = "a long, b long, a_start long, a_end long, b_start long, b_end long"
     pairs = materialize(few.repartition("key").sortWithinPartitions("key", "after", "before", "node", "at").mapInArrow(_compare, link), "pairs")
 
-    ends = [f(c).alias(c) for c, f in (("next_min", F.min), ("next_max", F.max), ("last_min", F.min), ("last_max", F.max))]
-    near = materialize(found.filter(F.col("kind") == NEAR).groupBy("key").agg(F.sum("node").alias("n"), *ends).filter("n > 1"), "near")
-    filters = [sent(near), sent(near.filter("next_min <> next_max")), sent(near.filter("last_min <> last_max"))]
-    for table in (found, near, counts):
+    once = found.filter(F.col("kind") == NEAR)
+    near = materialize(once.groupBy("key").agg(F.sum("node").alias("n")).filter("n > 1").select("key"), "near")
+    filters = [sent(near)]
+    # only what may stand twice is shuffled with its neighbours; what the filter lets through besides has no fork
+    names = ["key", "next_min", "next_max", "last_min", "last_max"]
+    ends = [f(F.coalesce(f"{c}_{e}", f"{c}_min")).alias(f"{c}_{e}") for c in ("next", "last") for e, f in (("min", F.min), ("max", F.max))]
+    sides = materialize(once.select(*names).mapInArrow(_repeated(filters[0]), ", ".join(f"{x} long" for x in names)).groupBy("key").agg(*ends).filter("next_min <> next_max OR last_min <> last_max"), "sides")
+    filters += [sent(sides.filter("next_min <> next_max")), sent(sides.filter("last_min <> last_max"))]
+    for table in (found, near, sides, counts):
         discard(table)
     blocks = materialize(slim.mapInArrow(_blocks(frequent, filters[0]), "key long, node long, at int"), "blocks")
     sizes = materialize(blocks.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")), "sizes")

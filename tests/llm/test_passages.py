@@ -163,3 +163,23 @@ def test_repeated_rows_and_long_texts(spark):
 
 def test_empty(spark):
     assert P.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shingles_near_frequent_windows_are_kept_small():
+    """Equal ends are written once, and rows that the filter clears aren't passed on."""
+    import pyarrow as pa
+
+    class Full:
+        value = np.full(1 << 17, 255, np.uint8)
+
+    class Empty:
+        value = np.zeros(1 << 17, np.uint8)
+
+    text = " ".join(f"w{i}" for i in range(120)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text + b" other"], pa.binary())], ["node", "text"])
+    rows = [r for b in P._windows(Full, Full)(iter([batch])) for r in b.to_pylist() if r["kind"] == P.NEAR]
+    assert rows and all(r["next_min"] is not None and r["last_max"] is None for r in rows)
+    assert sum(r["next_max"] is not None for r in rows) == 1  # the last shingle of one text is followed by another in the other
+    keys = pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows])], ["key"])
+    assert sum(b.num_rows for b in P._repeated(Full)(iter([keys]))) == len(rows)
+    assert sum(b.num_rows for b in P._repeated(Empty)(iter([keys]))) == 0
