@@ -150,7 +150,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     own = F.slice("ll", 1, k) if k else F.array().cast("array<double>")
     best = (F.array_position(own, F.array_max(own)) - 1).cast("int")
     has_text = (F.col("letters") > 0) & (TEMPER * (F.array_max(own) - F.element_at("ll", -1)) > math.log(UNKNOWN_PRIOR))
-    scored = materialize(scored.withColumn("vote", F.when(has_text, best)), "scored")
+    scored = materialize(scored.withColumn("vote", F.when(has_text, best)), "scored", texts=True)
     at_word = (F.col("declared") != "") & ~F.col("declared").isin(languages) & (F.col("letters") > 0)
     if not k:
         return scored.select("doc_id", "declared", F.when(at_word, F.col("declared")).otherwise(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_language"), at_word.alias("accepted"))

@@ -36,6 +36,8 @@ _SHAPES = ("base", "mail words", "3-3-4", "short number", "long number", "card l
 #: Words shortly ahead of a token that speak for a kind; the last one counts.
 _CUES = re.compile(r"(?i)\b(?:(e-?mail|mail|write to|contact)|(phone|tel|call|mobile|fax)|(card|visa|credit)|(ip|host|server))\b")
 CUE_REACH = 24
+#: A text without this has no candidates: they hold an @, digits or, in a text with one, the word dot.
+POSSIBLE = "[0-9@]|dot"
 #: Prior means of the weights: a look-alike isn't personal data, its entity's label speaks for it, and so does a cue.
 _LOOK_ALIKE, _SAME, _CUE = -2.2, 1.4, 1.0
 
@@ -308,7 +310,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     """docs with every span replaced by its kind in brackets; length_col, if there is one, is the new length. Null text
     stays null.
 
-    Overlapping spans become one, named after the first. All other columns and rows stay as they are.
+    Overlapping spans become one, named after the first. All other columns and rows stay as they are. Only texts that
+    can have candidates go to Python; the field of the others has no nodes.
     """
     model = docs.sparkSession.sparkContext.broadcast(_fit(docs, text_col, train_rows))
 
@@ -331,7 +334,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
 
     # plain names on the way, since a name with a dot can't be handed to an Arrow function
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    out = numbered.mapInArrow(change, numbered.schema).toDF(*docs.columns)
+    possible = F.coalesce(F.col(f"c{at}").rlike(POSSIBLE), F.lit(False))
+    out = numbered.filter(possible).mapInArrow(change, numbered.schema).unionByName(numbered.filter(~possible)).toDF(*docs.columns)
     return out.withColumn(length_col, F.char_length(F.col("`" + text_col + "`")).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
 
 

@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shingle, n, least, most): how many of some (root, hashes) have a shingle, and their least and largest root."""
-    for batch in slices(batches, 4096):
+    for batch in slices(batches, 1024):
         sets = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(1)]
         if not sets:
             continue
@@ -276,7 +276,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns aren't read.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(slim.mapInArrow(_sketches, "node long, doc_id long, fp long, size int, bands array<long>, hashes binary"), "rows")
+    rows = materialize(slim.mapInArrow(_sketches, "node long, doc_id long, fp long, size int, bands array<long>, hashes binary"), "rows", texts=True)
     sketches = materialize(rows.filter("size > 0").select("node", "fp", "bands").distinct(), "sketches")
     roots = components(near_edges(sketches, rows))
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")

@@ -2,6 +2,9 @@ import hashlib
 import itertools
 import random
 import re
+from collections import defaultdict
+from functools import partial
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -172,3 +175,14 @@ def test_texts_without_base_spans_are_in_the_field(model):
 def test_redact_without_length_column(spark):
     docs = spark.createDataFrame([(1, "a@b.c", 5)], "doc_id long, text string, `n.chars` long")
     assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "[EMAIL]", 5)]
+
+
+def test_texts_without_candidates_stay_out_of_python(spark, model, monkeypatch):
+    """A model that marks the first character of whatever it gets leaves texts alone that can't have candidates."""
+    seen = defaultdict(partial(list, [(0, 0, 1, "base")]))
+    monkeypatch.setattr(pii, "_fit", lambda *_: SimpleNamespace(spans=seen.__getitem__))
+    rows = [(1, "plain words, + and at"), (2, "x 1"), (3, "a@b"), (4, "x at y dot z"), (5, None), (6, "")]
+    clean = pii.redact(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, clean.collect())) == [(1, rows[0][1]), (2, "[EMAIL] 1"), (3, "[EMAIL]@b"), (4, "[EMAIL] at y dot z"), (5, None), (6, "")]
+    for text in [*texts(), "call joe at mail dot org", "Write to JOE AT mail.org", "٣٤٥ ٣٤٥ ٣٤٥٦"]:
+        assert re.search(pii.POSSIBLE, text) or not pii.candidates(text, pii.base_spans(text))

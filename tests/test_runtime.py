@@ -47,3 +47,18 @@ def test_a_cluster_needs_a_shared_folder(spark):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(RuntimeError):
             runtime.shared_dir(Far)
+
+
+def test_texts_go_to_python_in_small_batches(spark, shared):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 24, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+    before = spark.conf.get(key)
+    small = [r.n for r in runtime.materialize(texts.mapInArrow(sizes, "n long"), "small", texts=True).collect()]
+    assert sum(small) >= 24_000_000 and max(small) <= 6_000_000
+    assert spark.conf.get(key) == before
+    assert runtime.materialize(texts.mapInArrow(sizes, "n long"), "whole").count() == 1
