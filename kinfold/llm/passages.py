@@ -252,6 +252,19 @@ def _area(n: int, centers: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _reach(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which shingles a stretch can hold that is similar to another one, given the filter of repeated min-hashes.
+
+    Such stretches share a run of RUN shingles, whose minimum stands in both texts, and go WIDTH - RUN beyond it at most.
+    """
+    edge = np.zeros(len(values) + 1, np.int64)
+    if len(values) >= RUN:
+        at = np.flatnonzero(_inside(seen, _sliding(values, RUN, np.minimum)))
+        np.add.at(edge, np.maximum(0, at - WIDTH + RUN), 1)
+        np.add.at(edge, np.minimum(len(values), at + WIDTH), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _windows(repeated, frequent):
     """Compact windows of values that a few others may have, with codes of the shingles around their centers; and of
     each shingle near a window of a value that many have, how often it stands there and between which others."""
@@ -286,7 +299,7 @@ def _windows(repeated, frequent):
                 continue
             many = known & _inside(often, values[centers])
             if many.any():
-                area = _area(len(found), centers[many])
+                area = _area(len(found), centers[many]) & _reach(values, seen)
                 between = np.r_[np.uint64(0), found, np.uint64(0)]
                 near.append(np.stack([found[area], between[2:][area], between[:-2][area]]))
                 held += near[-1].shape[1]

@@ -183,3 +183,32 @@ def test_shingles_near_frequent_windows_are_kept_small():
     keys = pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows])], ["key"])
     assert sum(b.num_rows for b in P._repeated(Full)(iter([keys]))) == len(rows)
     assert sum(b.num_rows for b in P._repeated(Empty)(iter([keys]))) == 0
+
+
+def test_shingles_beyond_repeated_runs_are_not_counted():
+    """Around a frequent line in different texts, only what a similar stretch can reach; all of a shared stretch."""
+    import pyarrow as pa
+
+    class Filter:
+        def __init__(self, values):
+            self.value = np.zeros(1 << 17, np.uint8)
+            at = values.view(np.int64) & np.int64(8 * len(self.value) - 1)
+            np.bitwise_or.at(self.value, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    rng = random.Random(5)
+    line, passage = words(rng, 26), words(rng, 60)
+    apart = [" ".join([*words(rng, 90), *line, *words(rng, 90)]).encode() for _ in range(40)]
+    alike = [" ".join([*words(rng, 90), *edited(rng, passage, "changed"), *words(rng, 90)]).encode() for _ in range(40)]
+    for texts, far in ((apart, True), (alike, False)):
+        found = [P.shingles(t) for t in texts]
+        minima = [P.min_hash(x)[P.minima(P.min_hash(x))] for x in found]
+        values, n = np.unique(np.concatenate(minima), return_counts=True)
+        seen, often = Filter(values[n > 1]), Filter(values[n > P.PAIRWISE])
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["node", "text"])
+        rows = [r for b in P._windows(seen, often)(iter([batch])) for r in b.to_pylist() if r["kind"] == P.NEAR]
+        held, shared = {r["key"] for r in rows}, P.shingles(" ".join(passage).encode()).view(np.int64).tolist()
+        if far:
+            most = [P._area(len(x), np.flatnonzero(P.minima(P.min_hash(x)) & P._inside(often.value, P.min_hash(x)))).sum() for x in found]
+            assert 0 < sum(r["node"] for r in rows) < 0.9 * sum(most)
+        else:
+            assert set(shared) <= held
