@@ -25,8 +25,8 @@ LEAST_SHARED = int(np.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY) - 1e-9))
 #: share in two, and the longer part is a run of this many shingles. Every min-hash has its minimum over that run at
 #: the same place in both, so compact windows of this width of a single min-hash meet for every similar pair.
 RUN = -(-LEAST_SHARED // 2)
-#: Shingles that one word put in, or one taken out or changed, breaks.
-GAPS = (SHINGLE - 1, SHINGLE)
+#: Shingles that one word put in, or one taken out or changed, breaks; fewer where the word stands beside its like.
+GAPS = tuple(range(1, SHINGLE + 1))
 #: Windows of one min-hash value that are compared pair by pair; more frequent values go by their blocks.
 PAIRWISE = 16
 #: Bits of a filter, by the number of its values (16 each) and between these bounds: 32 MB at most.
@@ -196,7 +196,9 @@ def _windowed(flags: np.ndarray) -> np.ndarray:
 
 #: Kinds of rows of the second pass over the texts: windows of a few, shingles near windows of many.
 FEW, NEAR = 0, 1
-_WINDOW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("after", pa.binary()), ("before", pa.binary())] + [(c, pa.int64()) for c in ("next_min", "next_max", "last_min", "last_max")])
+_ENDS = ("next_min", "next_max", "last_min", "last_max")
+_SIDES = pa.schema([(c, pa.int64()) for c in ("key", "n", *_ENDS)])
+_WINDOW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("after", pa.binary()), ("before", pa.binary()), *((c, pa.int64()) for c in _ENDS)])
 _WINDOW_ROWS = "kind int, key long, node long, at int, after binary, before binary, next_min long, next_max long, last_min long, last_max long"
 
 
@@ -265,9 +267,30 @@ def _reach(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _windows(repeated, frequent):
+def _between(found: np.ndarray, area: np.ndarray) -> np.ndarray:
+    """Shingles of an area with the ones that follow and precede them, zero at the ends of a text."""
+    around = np.r_[np.uint64(0), found, np.uint64(0)]
+    return np.stack([found[area], around[2:][area], around[:-2][area]])
+
+
+def _counted(near: list[np.ndarray], ends: bool = True) -> pa.RecordBatch:
+    """How often each of some shingles stands there and, if ends are asked for, between which others."""
+    values, *sides = np.concatenate(near, axis=1)
+    order = np.argsort(values)
+    values = values[order]
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    columns = [pa.array(values[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(values)]).astype(np.int64))]
+    for side in sides if ends else ():
+        low, high = (f.reduceat(side[order].view(np.int64), first) for f in (np.minimum, np.maximum))
+        columns += [pa.array(low), pa.array(high, mask=low == high)]  # a maximum that is the minimum isn't written
+    columns += [pa.nulls(len(first), pa.int64())] * (len(_SIDES) - len(columns))
+    return pa.RecordBatch.from_arrays(columns, schema=_SIDES)
+
+
+def _windows(repeated, frequent, ends: bool = True):
     """Compact windows of values that a few others may have, with codes of the shingles around their centers; and of
-    each shingle near a window of a value that many have, how often it stands there and between which others."""
+    each shingle near a window of a value that many have, how often it stands there and, if ends are asked for, between
+    which others."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, often = repeated.value, frequent.value
@@ -279,17 +302,9 @@ def _windows(repeated, frequent):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _WINDOW.types)], schema=_WINDOW)
 
         def counted() -> pa.RecordBatch:
-            values, after, before = np.concatenate(near, axis=1)
-            order = np.argsort(values)
-            values = values[order]
-            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            n, none = np.diff(np.r_[first, len(values)]), pa.nulls(len(first), pa.binary())
-            ends = []
-            for side in (after, before):
-                low, high = (f.reduceat(side[order].view(np.int64), first) for f in (np.minimum, np.maximum))
-                ends += [pa.array(low), pa.array(high, mask=low == high)]  # a maximum that is the minimum isn't written
-            columns = [np.full(len(n), NEAR, np.int32), values[first].view(np.int64), n.astype(np.int64), np.zeros(len(n), np.int32), none, none]
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *ends], schema=_WINDOW)
+            key, n, *sides = _counted(near, ends).columns
+            none = pa.nulls(len(n), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), NEAR, np.int32)), key, n, pa.array(np.zeros(len(n), np.int32)), none, none, *sides], schema=_WINDOW)
 
         for node, found in _text_batches(batches):
             values = min_hash(found)
@@ -300,8 +315,7 @@ def _windows(repeated, frequent):
             many = known & _inside(often, values[centers])
             if many.any():
                 area = _area(len(found), centers[many]) & _reach(values, seen)
-                between = np.r_[np.uint64(0), found, np.uint64(0)]
-                near.append(np.stack([found[area], between[2:][area], between[:-2][area]]))
+                near.append(_between(found, area))
                 held += near[-1].shape[1]
             few = set(centers[known & ~many].tolist())
             if few:
@@ -346,8 +360,12 @@ def _parts(masked: np.ndarray, there: np.ndarray, forks: np.ndarray, joins: np.n
     np.cumsum(masked * up[:n], out=sums[1:])
     np.cumsum(~there, out=holes[1:])
     mixed = lambda x: (x ^ (x >> np.uint64(31))) * _MIX
+    turns = masked[1:] != masked[:-1]
     for gap in GAPS:
-        cuts = np.flatnonzero(forks[: n - gap - 1] & joins[gap + 1 :]) + 1
+        at = forks[: n - gap - 1] & joins[gap + 1 :]
+        if gap < SHINGLE - 1:  # beside so few of its like that no shingle is followed by itself
+            at &= turns[: n - gap - 1] & turns[gap:]
+        cuts = np.flatnonzero(at) + 1
         low, high = np.searchsorted(starts, cuts - LEAST_SHARED + 1), np.searchsorted(starts, cuts)
         many = high - low
         if not many.sum():
@@ -399,23 +417,50 @@ def _blocks(frequent, shared):
     return find
 
 
+def _given(batches: Iterator[pa.RecordBatch], often: np.ndarray, common: np.ndarray) -> Iterator[tuple]:
+    """(node, shingles, what _stretches() says of them) of (node, text, keys), for the stretches of these keys only."""
+    for batch in batches:
+        for (node, found), wanted in zip(_text_batches(iter([batch]), every=True), batch.column(2)):
+            if (seen := _stretches(found, often, common)) is not None:
+                there, masked, starts, keys = seen
+                first = np.unique(keys, return_index=True)[1]
+                first = np.sort(first[np.isin(keys[first].view(np.int64), wanted.values.to_numpy())])
+                yield node, found, there, masked, starts[first], keys[first]
+
+
+def _sides(frequent, shared):
+    """Between which others the shingles of given stretches stand. Each content is given once, and two that differ by
+    an edit have different shingles beside it, so this shows every place where an edit may have been."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: list[np.ndarray] = []
+        held = 0
+        for _, found, _, _, starts, _ in _given(batches, frequent.value, shared.value):
+            edge = np.zeros(len(found) + 1, np.int64)
+            edge[starts] += 1
+            edge[starts + WIDTH] -= 1
+            near.append(_between(found, np.cumsum(edge[:-1]) > 0))
+            held += near[-1].shape[1]
+            if held > 500_000:
+                yield _counted(near)
+                near, held = [], 0
+        if held:
+            yield _counted(near)
+
+    # only what may stand twice is passed on; what the filter lets through besides has no fork
+    return lambda batches: _repeated(shared)(counted(batches))
+
+
 def _edits(frequent, shared, forking, joining):
     """Parts of the stretches of (node, text, keys) whose keys are given."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (node, found), wanted in zip(_text_batches(iter([batch]), every=True), batch.column(2)):
-                seen = _stretches(found, frequent.value, shared.value)
-                if seen is None:
-                    continue
-                there, masked, starts, keys = seen
-                first = np.unique(keys, return_index=True)[1]
-                first = np.sort(first[np.isin(keys[first].view(np.int64), wanted.values.to_numpy())])
-                forks, joins = there.copy(), there.copy()
-                forks[there], joins[there] = _inside(forking.value, found[there]), _inside(joining.value, found[there])
-                for part, place, key in _parts(masked, there, forks, joins, starts[first], keys[first]):
-                    columns = [part.view(np.int64), key.view(np.int64), np.full(len(part), node), place.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "key", "node", "at"])
+        for node, found, there, masked, starts, keys in _given(batches, frequent.value, shared.value):
+            forks, joins = there.copy(), there.copy()
+            forks[there], joins[there] = _inside(forking.value, found[there]), _inside(joining.value, found[there])
+            for part, place, key in _parts(masked, there, forks, joins, starts, keys):
+                columns = [part.view(np.int64), key.view(np.int64), np.full(len(part), node), place.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "key", "node", "at"])
 
     return find
 
@@ -456,8 +501,9 @@ def passage_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     The min-hash values of all compact windows are counted first. Windows of a value that up to PAIRWISE have meet in
     one task and are compared pair by pair. Windows of more frequent values, such as those of a line in every
     document, never do: of the stretches around them, those whose shingles stand around others too are grouped by
-    content, and each distinct content is grouped by every part that may remain of it after one edit. Both are stars,
-    linear in the windows, and lose no pair. Filters only clear values that certainly are of no interest: a value that
+    content, and each distinct content is grouped by every part that may remain of it after one edit. Where an edit may
+    be shows by the neighbours of shingles within distinct contents; outside, what texts share by chance can grow
+    faster than they do, and none of it is passed on. Both are stars, linear in the windows, and lose no pair. Filters only clear values that certainly are of no interest: a value that
     a full filter takes for frequent goes the other way, which finds its pairs as well.
     """
     spark = nodes.sparkSession
@@ -466,27 +512,30 @@ def passage_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = materialize(slim.mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     repeated, frequent = sent(counts), sent(counts.filter(F.col("n") > PAIRWISE))
 
-    found = materialize(slim.mapInArrow(_windows(repeated, frequent), _WINDOW_ROWS), "windows")
+    windows = slim.mapInArrow(_windows(repeated, frequent, ends=False), _WINDOW_ROWS)
+    found = materialize(windows.drop(*_ENDS), "windows")
     few = found.filter(F.col("kind") == FEW).select("key", "node", "at", "after", "before")
     link = "a long, b long, a_start long, a_end long, b_start long, b_end long"
     pairs = materialize(few.repartition("key").sortWithinPartitions("key", "after", "before", "node", "at").mapInArrow(_compare, link), "pairs")
 
     once = found.filter(F.col("kind") == NEAR)
     near = materialize(once.groupBy("key").agg(F.sum("node").alias("n")).filter("n > 1").select("key"), "near")
-    filters = [sent(near)]
-    # only what may stand twice is shuffled with its neighbours; what the filter lets through besides has no fork
-    names = ["key", "next_min", "next_max", "last_min", "last_max"]
-    ends = [f(F.coalesce(f"{c}_{e}", f"{c}_min")).alias(f"{c}_{e}") for c in ("next", "last") for e, f in (("min", F.min), ("max", F.max))]
-    sides = materialize(once.select(*names).mapInArrow(_repeated(filters[0]), ", ".join(f"{x} long" for x in names)).groupBy("key").agg(*ends).filter("next_min <> next_max OR last_min <> last_max"), "sides")
-    filters += [sent(sides.filter("next_min <> next_max")), sent(sides.filter("last_min <> last_max"))]
-    for table in (found, near, sides, counts):
+    shared = sent(near)
+    for table in (found, near, counts):
         discard(table)
-    blocks = materialize(slim.mapInArrow(_blocks(frequent, filters[0]), "key long, node long, at int"), "blocks")
+    blocks = materialize(slim.mapInArrow(_blocks(frequent, shared), "key long, node long, at int"), "blocks")
     sizes = materialize(blocks.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")), "sizes")
-    # each content gives its parts once, at its least node; only the texts of such nodes are shuffled
+    # each content gives its neighbours and parts once, at its least node; only the texts of such nodes are shuffled
     givers = materialize(sizes.groupBy(F.col("least").alias("node")).agg(F.collect_list("key").alias("keys")), "givers")
     texts = split_by_bitmap(slim, membership_bitmap(givers, "node"), F.col("node")).filter("kf_maybe_").select("node", "text").join(givers, "node")
-    parts = materialize(texts.select("node", "text", "keys").mapInArrow(_edits(frequent, *filters), "part long, key long, node long, at int"), "parts")
+    texts = materialize(texts.select("node", "text", "keys"), "texts")
+    ends = [f(F.coalesce(f"{c}_{e}", f"{c}_min")).alias(f"{c}_{e}") for c in ("next", "last") for e, f in (("min", F.min), ("max", F.max))]
+    beside = texts.mapInArrow(_sides(frequent, shared), ", ".join(f"{x} long" for x in _SIDES.names))
+    sides = materialize(beside.groupBy("key").agg(*ends).filter("next_min <> next_max OR last_min <> last_max"), "sides", texts=True)
+    forking, joining = sent(sides.filter("next_min <> next_max")), sent(sides.filter("last_min <> last_max"))
+    parts = materialize(texts.mapInArrow(_edits(frequent, shared, forking, joining), "part long, key long, node long, at int"), "parts", texts=True)
+    for table in (sides, texts):
+        discard(table)
     place = F.xxhash64("node", "at")
     groups = parts.groupBy("part").agg(F.min("node").alias("least"), F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
     groups = materialize(groups.filter("first <> last").select("part", "least", "n"), "groups")

@@ -212,3 +212,38 @@ def test_shingles_beyond_repeated_runs_are_not_counted():
             assert 0 < sum(r["node"] for r in rows) < 0.9 * sum(most)
         else:
             assert set(shared) <= held
+
+
+def test_copies_that_double_a_word_are_linked(spark):
+    """A word put in beside its like breaks fewer shingles of the other text than any other word does."""
+    rng = random.Random(8)
+    for run in (1, 2, 3):
+        passage = words(rng, 56)
+        passage[26 : 26 + run] = [passage[26]] * run
+        docs = [[*passage[:26], *[passage[26]] * (i % 2), *passage[26:]] for i in range(40)]
+        texts = [" ".join([*words(rng, 10 + i), *d, *words(rng, 30)]) for i, d in enumerate(docs)]
+        sets = [shingle_sets(d) for d in docs[:2]]
+        assert similar(*sets)
+        found = P.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert [r.class_id for r in found] == [0] * 40, run
+
+
+def test_shingles_shared_by_chance_are_not_passed_on(spark, monkeypatch):
+    """Near a frequent line, phrases that stand twice are met more the larger the table is; without a stretch that is
+    similar to another one, their neighbours aren't asked for. Those around an edit are."""
+    rng = random.Random(9)
+    line, passage, phrases = words(rng, 26), words(rng, 60), [words(rng, 8) for _ in range(5)]
+    chance = [" ".join([*words(rng, 60), *phrases[i % 5], *words(rng, 3), *line, *words(rng, 60)]) for i in range(40)]
+    alike = [" ".join([*words(rng, 60), *edited(rng, passage, "changed"), *words(rng, 60)]) for _ in range(40)]
+    real, rows = P.materialize, {}
+
+    def counted(table, name, *args, **named):
+        out = real(table, name, *args, **named)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(P, "materialize", counted)
+    for texts, some in ((chance, False), (alike, True)):
+        P.passage_links(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+        assert rows["near"] > 20
+        assert (rows["sides"] > 0) == some
