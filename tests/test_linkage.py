@@ -167,6 +167,20 @@ def test_blocking_unmatched_and_fuzzy_pairs(spark):
     assert all(c == min(i for i in clusters if clusters[i] == c) for c in clusters.values())
 
 
+def test_fuzzy_pairs_of_few_profiles_are_written_out_from_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PAIR_BLOCK", 3)
+    rows = [(None, None, ("Person aa", "Person ab", "Person bb", "P aa")[i % 4], ("Acme", None, "Zq")[i % 3], (None, "Oslo", "Reno", None, "Pune")[i % 5]) for i in range(90)]
+    fragments = people(spark, rows)
+    for step in (1, 2, 7):
+        sources = set(range(0, 90, step))
+        found = resolve.fuzzy_pairs(fragments, spark.createDataFrame([(i,) for i in sources], "fid long"), digits=6)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan  # names, companies and places are compared before fragments are paired
+        got = found.collect()
+        assert len({(r.a, r.b) for r in got}) == len(got)
+        assert {(r.a, r.b): r.confidence for r in got} == {k: round(v, 6) for k, v in plain_pairs(rows, sources).items()}
+
+
 def test_name_pairs_lose_nothing(spark):
     import random
 
