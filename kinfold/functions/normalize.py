@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from kinfold import vocabulary as V
 from kinfold.functions.fuzzy import best_of
-from kinfold.functions.text import filled, strip
+from kinfold.functions.text import filled, let, strip
 
 # Fixed value: a valid address.
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\z"
@@ -21,14 +21,13 @@ _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augu
 
 def email(c: Column) -> Column:
     """Lower-cased address, null if it isn't valid; confidence 1."""
-    clean = F.lower(strip(c))
-    return F.when(clean.rlike(EMAIL), clean)
+    return let(F.lower(strip(c)), lambda clean: F.when(clean.rlike(EMAIL), clean))
 
 
 def email_list(c: Column) -> Column:
     """Valid addresses, each once, in order; null if none is left."""
     good = F.array_sort(F.array_distinct(F.filter(F.transform(c, email), lambda x: x.isNotNull())))
-    return F.when(F.size(good) > 0, good)
+    return let(good, lambda x: F.when(F.size(x) > 0, x))
 
 
 def phone(c: Column, region: Column, plans: dict = V.PHONE_PLANS) -> Column:
@@ -37,28 +36,35 @@ def phone(c: Column, region: Column, plans: dict = V.PHONE_PLANS) -> Column:
     Plans cover the regions of kinfold.vocabulary. Of other regions, a number with a calling code of the public list is
     valid if its length is; without one it is null, never a guess.
     """
-    text = strip(c)
-    digits = F.regexp_replace(text, "[^0-9]", "")
+    digits = lambda text: F.regexp_replace(text, "[^0-9]", "")
+    return let(strip(c), lambda text: let(digits(text), lambda found: let(region, lambda home: _phone(text, found, home, plans))))
+
+
+def _phone(text: Column, digits: Column, region: Column, plans: dict) -> Column:
     sane = text.rlike(r"^[+(]?[\d\s().\-/]{6,}(?:\s*(?:ext|x)\.?\s*\d+)?\z") | text.rlike(r"^\+[\d\s().\-/]{6,}\z")
-    body = F.regexp_replace(digits, "^00", "")
-    abroad, home = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for code, (calling, trunk, national) in plans.items():
-        optional = f"(?:{trunk})?" if trunk else ""
-        full = rf"^{calling}{optional}({national})\z"
-        abroad = F.coalesce(abroad, F.when(body.rlike(full), F.concat(F.lit("+" + calling), F.regexp_extract(body, full, 1))))
-        local = rf"^{optional}({national})\z"
+    ways = {code: (calling, f"(?:{trunk})?" if trunk else "", national) for code, (calling, trunk, national) in plans.items()}
+
+    def abroad(body: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for calling, optional, national in ways.values():
+            full = rf"^{calling}{optional}({national})\z"
+            found = F.coalesce(found, F.when(body.rlike(full), F.concat(F.lit("+" + calling), F.regexp_extract(body, full, 1))))
+        planned = "|".join(sorted({calling for calling, _, _ in plans.values()}))
+        other = rf"^(?!{planned})({V.CALLING_CODES})\d{{{V.LEAST_NATIONAL},}}\z"
+        return F.coalesce(found, F.when(body.rlike(other) & (F.char_length(body) <= V.MOST_DIGITS), F.concat(F.lit("+"), body)))
+
+    home = F.lit(None).cast("string")
+    for code, (calling, optional, national) in ways.items():
+        full, local = rf"^{calling}{optional}({national})\z", rf"^{optional}({national})\z"
         here = F.when(digits.rlike(local), F.concat(F.lit("+" + calling), F.regexp_extract(digits, local, 1)))
         here = F.coalesce(here, F.when(digits.rlike(full), F.concat(F.lit("+" + calling), F.regexp_extract(digits, full, 1))))
         home = F.when(region == code, here).otherwise(home)
-    planned = "|".join(sorted({calling for calling, _, _ in plans.values()}))
-    other = rf"^(?!{planned})({V.CALLING_CODES})\d{{{V.LEAST_NATIONAL},}}\z"
-    abroad = F.coalesce(abroad, F.when(body.rlike(other) & (F.char_length(body) <= V.MOST_DIGITS), F.concat(F.lit("+"), body)))
-    return F.when(sane, F.when(text.startswith("+") | digits.startswith("00"), abroad).otherwise(home))
+    return F.when(sane, F.when(text.startswith("+") | digits.startswith("00"), let(F.regexp_replace(digits, "^00", ""), abroad)).otherwise(home))
 
 
 def phone_list(c: Column, region: Column) -> Column:
-    good = F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: phone(x, region)), lambda x: x.isNotNull())))
-    return F.when(F.size(good) > 0, good)
+    good = F.array_sort(F.array_distinct(F.filter(F.transform(F.array_distinct(c), lambda x: phone(x, region)), lambda x: x.isNotNull())))
+    return let(good, lambda x: F.when(F.size(x) > 0, x))
 
 
 @cache
@@ -70,39 +76,55 @@ def iso_countries() -> tuple[tuple[str, str, str], ...]:
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
-    """A dictionary of a few hundred constants as one map literal (a single string, folded once when planned)."""
+    """A dictionary of a few hundred constants as one map literal (a single string, folded once when planned).
+
+    The map is searched from its start, so keys that it lacks are told by a hash set first.
+    """
     if not pairs:
         return F.lit(None).cast("string")
     packed = "\x02".join(f"{k}\x03{v}" for k, v in pairs.items())
-    return F.try_element_at(F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x03")), key)
+    return let(key, lambda k: F.when(k.isin(list(pairs)), F.try_element_at(F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x03")), k)))
+
+
+_MARKS = {"àáâãäå": "a", "ç": "c", "èéêë": "e", "ìíîï": "i", "ñ": "n", "òóôõöø": "o", "ùúûü": "u", "ýÿ": "y"}
+_UNMARKED = {x: y for group, y in _MARKS.items() for x in group}
 
 
 def _plain(c: Column) -> Column:
     """Lower case without accents."""
-    marks = {"àáâãäå": "a", "ç": "c", "èéêë": "e", "ìíîï": "i", "ñ": "n", "òóôõöø": "o", "ùúûü": "u", "ýÿ": "y"}
-    pairs = [(x, y) for group, y in marks.items() for x in group]
-    return F.translate(F.lower(c), "".join(x for x, _ in pairs), "".join(y for _, y in pairs))
+    return F.translate(F.lower(c), "".join(_UNMARKED), "".join(_UNMARKED.values()))
 
 
 def _country_like(text: Column) -> Column:
-    """Code of the country whose name holds the text earliest, of equal ones the first code; null if none does."""
-    names = F.split(F.lit("\x02".join(f"{a}{n}" for a, _, n in iso_countries())), "\x02")
-    places = F.transform(names, lambda n: F.struct(F.greatest(F.instr(_plain(F.substring(n, 3, 200)), text) - 1, F.lit(-1)).alias("at"), F.substring(n, 1, 2).alias("code")))
+    """Code of the country whose name holds the text earliest, of equal ones the first code; null if none does.
+
+    Names are made plain here, not once a row; a text that stands nowhere in all of them isn't looked for in each.
+    """
+    plain = [(code, name.translate(str.maketrans(_UNMARKED))) for code, _, name in iso_countries()]
+    names = F.split(F.lit("\x02".join(f"{code}{name}" for code, name in plain)), "\x02")
+    places = F.transform(names, lambda n: F.struct((F.instr(n, text) - 3).alias("at"), F.substring(n, 1, 2).alias("code")))
     # from the 13th place on all count alike
     ranked = F.transform(F.filter(places, lambda x: x["at"] >= 0), lambda x: F.struct(F.least(x["at"], F.lit(13)).alias("at"), x["code"].alias("code")))
-    return F.array_min(ranked)["code"]
+    return F.when(F.lit("\x02".join(name for _, name in plain)).contains(text), F.array_min(ranked)["code"])
 
 
 def country(c: Column) -> Column:
     """struct(code, confidence): alpha-2 and alpha-3 codes 1.0, informal and official names .95, parts of a name (four
     letters or more) .85, else null. Names of a country's parts (states, provinces) aren't known."""
-    iso, clean = iso_countries(), strip(c)
-    upper, lower = F.upper(clean), F.lower(clean)
-    by_code = F.when(F.char_length(clean) == 2, F.when(upper.isin([a for a, _, _ in iso]), upper)).when(F.char_length(clean) == 3, _lookup({b: a for a, b, _ in iso}, upper))
-    by_name = F.coalesce(_lookup(V.COUNTRY_ALIASES, lower), _lookup({n: a for a, _, n in iso} | {a.lower(): a for a, _, _ in iso} | {b.lower(): a for a, b, _ in iso}, lower))
+    iso = iso_countries()
+    names = {n: a for a, _, n in iso} | {a.lower(): a for a, _, _ in iso} | {b.lower(): a for a, b, _ in iso}
     said = lambda code, confidence: F.struct(code.alias("code"), F.lit(confidence).alias("confidence"))
-    like = F.when(by_code.isNull() & by_name.isNull() & (F.char_length(clean) > 3), _country_like(_plain(clean)))
-    return F.when(by_code.isNotNull(), said(by_code, 1.0)).when(by_name.isNotNull(), said(by_name, 0.95)).when(like.isNotNull(), said(like, 0.85))
+    # each way only where the ones before it found nothing
+    or_else = lambda code, confidence, rest: let(code, lambda x: F.when(x.isNotNull(), said(x, confidence)).otherwise(rest))
+
+    def told(clean: Column) -> Column:
+        upper, lower = F.upper(clean), F.lower(clean)
+        by_code = F.when(F.char_length(clean) == 2, F.when(upper.isin([a for a, _, _ in iso]), upper)).when(F.char_length(clean) == 3, _lookup({b: a for a, b, _ in iso}, upper))
+        by_name = F.coalesce(_lookup(V.COUNTRY_ALIASES, lower), _lookup(names, lower))
+        like = F.when(F.char_length(clean) > 3, let(_plain(clean), _country_like))
+        return or_else(by_code, 1.0, or_else(by_name, 0.95, let(like, lambda x: F.when(x.isNotNull(), said(x, 0.85)))))
+
+    return let(strip(c), told)
 
 
 @F.pandas_udf(StructType([StructField("date", StringType()), StructField("confidence", DoubleType())]))
@@ -193,13 +215,16 @@ class SkillDictionary:
         """
         clean = F.filter(F.transform(c, strip), lambda x: x.isNotNull() & (x != ""))
         looked = F.transform(clean, lambda x, i: F.struct(x.alias("raw"), i.alias("i"), self.exact(x).alias("name")))
-        other = F.filter(looked, lambda e: e["name"].isNull())
-        none = F.array().cast("array<struct<name:string,confidence:double>>")
-        scored = F.when(F.size(other) > 0, self.fuzzy()(F.transform(other, lambda e: e["raw"]))).otherwise(none)
+        unknown = lambda entries: F.filter(entries, lambda e: e["name"].isNull())
+        scored = self.fuzzy()(F.transform(unknown(looked), lambda e: e["raw"]))
         entry = lambda name, less, i, raw: F.struct(name.alias("name"), less.alias("less"), i.alias("i"), raw.alias("raw"))
-        known = F.transform(F.filter(looked, lambda e: e["name"].isNotNull()), lambda e: entry(e["name"], F.lit(-1.0), e["i"], e["raw"]))
-        rest = F.zip_with(other, scored, lambda e, s: entry(F.coalesce(s["name"], e["raw"]), -F.coalesce(s["confidence"], F.lit(V.UNKNOWN_SKILL)), e["i"], e["raw"]))
         same = lambda done, e: F.coalesce(F.try_element_at(done, F.lit(-1))["name"] == e["name"], F.lit(False))
         none = F.array().cast("array<struct<name:string,less:double,i:int,raw:string>>")
-        first = F.aggregate(F.array_sort(F.concat(known, rest)), none, lambda done, e: F.when(same(done, e), done).otherwise(F.array_append(done, e)))
-        return F.when(F.size(first) > 0, F.transform(first, lambda e: F.struct(e["name"].alias("name"), (-e["less"]).alias("confidence"), e["raw"].alias("raw"))))
+
+        def first(p: Column) -> Column:
+            known = F.transform(F.filter(p["looked"], lambda e: e["name"].isNotNull()), lambda e: entry(e["name"], F.lit(-1.0), e["i"], e["raw"]))
+            rest = F.zip_with(unknown(p["looked"]), p["scored"], lambda e, s: entry(F.coalesce(s["name"], e["raw"]), -F.coalesce(s["confidence"], F.lit(V.UNKNOWN_SKILL)), e["i"], e["raw"]))
+            return F.aggregate(F.array_sort(F.concat(known, rest)), none, lambda done, e: F.when(same(done, e), done).otherwise(F.array_append(done, e)))
+
+        out = lambda found: F.when(F.size(found) > 0, F.transform(found, lambda e: F.struct(e["name"].alias("name"), (-e["less"]).alias("confidence"), e["raw"].alias("raw"))))
+        return let(let(F.struct(looked.alias("looked"), scored.alias("scored")), first), out)

@@ -181,6 +181,29 @@ def test_fuzzy_pairs_of_few_profiles_are_written_out_from_blocks(spark, monkeypa
         assert {(r.a, r.b): r.confidence for r in got} == {k: round(v, 6) for k, v in plain_pairs(rows, sources).items()}
 
 
+def test_normalisers_work_each_value_out_once(spark):
+    from kinfold.functions import normalize as N
+
+    numbers = spark.range(1).select(N.phone_list(F.array(F.lit("x")), F.col("id").cast("string")).alias("p"))
+    assert numbers._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 4
+    rows = spark.createDataFrame([(t,) for t in ("Côte d", "kore", "Narnia", "ISLAND", "lan", "guine", "", None, "PRT", "pt", "U.S.", "xyz", "åland")], "t string")
+    got = rows.select("t", N._plain(F.col("t")).alias("p"), N.country(F.col("t")).alias("c")).collect()
+    told, want = {r.t: (r.c and (r.c.code, r.c.confidence)) for r in got}, {}
+    for t, p, _ in got:
+        found = [(min(at, 13), a) for a, _, n in N.iso_countries() if len(t or "") > 3 and (at := n.translate(str.maketrans(N._UNMARKED)).find(p)) >= 0]
+        want[t] = (min(found)[1], 0.85) if found else None
+    want |= {"PRT": ("PT", 1.0), "pt": ("PT", 1.0), "U.S.": ("US", 0.95), "åland": told["åland"]}
+    assert told == want
+
+
+def test_spread_uses_all_cores(spark, tmp_path):
+    from kinfold.runtime import spread
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spread(spark.read.parquet(str(tmp_path / "t")))
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r.id for r in df.collect()) == list(range(10))
+
+
 def test_name_pairs_lose_nothing(spark):
     import random
 
